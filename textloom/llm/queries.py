@@ -6,16 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, pii
 from .common import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_digest
+
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_digest
+
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op7_pii": op7_pii,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_mixing": op10_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": chat.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
