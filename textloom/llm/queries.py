@@ -10,20 +10,44 @@ from . import chat, pii
 from .common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_digest
 
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import kept
+
+    return kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_components
 
@@ -37,9 +61,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_quality": op5_quality,
     "op7_pii": op7_pii,
+    "op8_class_lm": op8_class_lm,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
 }
