@@ -112,18 +112,41 @@ def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, ske
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, n long, a long, b long, prefix binary")
 
 
-def _tokens(classes: DataFrame) -> DataFrame:
-    """(rep, n, token): a row for each prefix shingle of each class."""
+def _stars(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class and the first one with the same prefix shingle and a size that could fit.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sizes fall into steps of the threshold's ratio; sets that can link are in the same or in adjacent steps, so a
+    shingle is a key in its own step and in the next one. Rows come sorted by key and are streamed."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, n = (np.array(batch.column(i), dtype=np.int64) for i in (0, 1))
-            tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
             sizes = [len(t) for t in tokens]
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, sizes)), pa.array(np.repeat(n, sizes)), pa.array(flat)], ["rep", "n", "token"])
-
-    return classes.select("rep", "n", "prefix").mapInArrow(run, "rep long, n long, token long")
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            step = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+            step = np.repeat(step, sizes)
+            both = np.concatenate([K.mix(flat ^ K.mix(step)), K.mix(flat ^ K.mix(step + np.uint64(1)))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(rep, sizes), 2)), pa.array(K.signed(both))], ["rep", "key"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, None
+        for batch in batches:
+            rep, key = (np.array(batch.column(i), dtype=np.int64) for i in (0, 1))
+            if not len(key):
+                continue
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            firsts = rep[head]
+            if last == key[0]:
+                firsts[0] = first
+            to = np.repeat(firsts, np.diff([*head, len(key)]))
+            last, first = key[-1], to[-1]
+            pairs = np.unique(np.stack([rep, to], 1)[rep != to], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], ["a", "b"])
+
+    rows = classes.select("rep", "n", "prefix").mapInArrow(keys, "rep long, key long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(stars, "a long, b long").distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -316,14 +339,12 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """(doc_id, n_shingles, component_id) for every row; see the module text for method and edge cases."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_col, text_col = "_id", "_text"
-    cells = 1 << min(SKETCH_BITS, max(10, (64 * docs.count()).bit_length()))
+    cells = 1 << min(SKETCH_BITS, max(10, (256 * docs.count()).bit_length()))
     every = cut(_prefixes(docs, id_col, text_col, k, percent, shingle_sketch(docs, text_col, k, cells)))
     classes = every.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = cut(classes.select("rep", "n", "a", "b", "prefix"))
     # a class whose prefix shingles are all its own has no links
-    tokens = _tokens(classes)
-    least = tokens.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("token", "first")
-    stars = cut(tokens.join(least, "token").where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
+    stars = cut(_stars(classes, percent))
     family = contract(stars).select(F.col("a").alias("rep"), F.col("root").alias("family"))
     members = cut(_blocks(family.join(classes.select("rep", "n"), "rep")))
     sets = cut(members.join(_sets_of(docs, members, id_col, text_col, k).groupBy("rep").agg(F.first("set").alias("set")), "rep"))
