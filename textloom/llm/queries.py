@@ -38,6 +38,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_class_lm": op8_class_lm,
     "op9_ngram_jaccard": op9_ngram_jaccard,
