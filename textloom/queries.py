@@ -7,16 +7,260 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import matches as M
+from .operators import rewrite as R
+from .operators import shapes as S
+from .rules.spec import RuleSpec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query(name: str, sql: str | None = None):
+    """Registers a query, with SQL where there is any."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+CHAIN = [
+    RuleSpec("of the", "OF-THE"),
+    RuleSpec(r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", "$2 at $1", regex=True),
+    RuleSpec("license", "LICENCE", ignore_case=True),
+    RuleSpec("OF-THE", "of_the"),
+]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    new = F.replace("text", F.lit("the"), F.lit("THE"))
-    return docs.select("doc_id", new.alias("new_text"), (new != F.col("text")).alias("changed"))
+    return R.rewrite(table(spark, sf_dir, "documents"), CHAIN).select("doc_id", "new_text", "changed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def _rewritten(spark, sf_dir, *rules) -> DataFrame:
+    out = R.rewrite(table(spark, sf_dir, "documents"), list(rules))
+    return out.select("doc_id", "new_text", "changed", F.col("hits")[0].alias("hits"))
+
+
+def _oracle(pattern: str, new: str, flags: str = "") -> str:
+    return f"SELECT doc_id, regexp_replace(text, '{pattern}', '{new}', 'g{flags}') AS new_text, regexp_replace(text, '{pattern}', '{new}', 'g{flags}') <> text AS changed, len(regexp_extract_all(text, '{'(?i)' if flags else ''}{pattern}')) AS hits FROM documents"
+
+
+@query("q01_literal", "SELECT doc_id, replace(text, 'and', 'AND') AS new_text, replace(text, 'and', 'AND') <> text AS changed, ((length(text) - length(replace(text, 'and', ''))) / 3)::BIGINT AS hits FROM documents")
+def q01(spark, sf_dir):
+    """Literal text rule."""
+    return _rewritten(spark, sf_dir, RuleSpec("and", "AND"))
+
+
+@query("q02_relaxed_space", _oracle(r"of\s+the", "OF THE"))
+def q02(spark, sf_dir):
+    """Literal rule whose spaces match any run of white space."""
+    return _rewritten(spark, sf_dir, RuleSpec("of the", "OF THE"))
+
+
+@query("q03_groups", _oracle(r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", r"\2 at \1"))
+def q03(spark, sf_dir):
+    """Regular expression with groups in the template."""
+    return _rewritten(spark, sf_dir, RuleSpec(r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", "$2 at ${1}", regex=True))
+
+
+@query("q04_ignore_case", _oracle("license", "LICENCE", "i"))
+def q04(spark, sf_dir):
+    """Case-insensitive literal."""
+    return _rewritten(spark, sf_dir, RuleSpec("license", "LICENCE", ignore_case=True))
+
+
+@query("q05_whole_word", r"SELECT doc_id, regexp_replace(text, '\b(?:the)\b', 'THE', 'g') AS new_text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+def q05(spark, sf_dir):
+    """Whole words, on the documents where word borders mean the same in both engines."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return R.rewrite(docs, [RuleSpec("the", "THE", whole_word=True)]).select("doc_id", "new_text")
+
+
+def _chain_sql(text: str) -> str:
+    out = rf"regexp_replace({text}, 'of\s+the', 'OF-THE', 'g')"
+    out = rf"regexp_replace({out}, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', '\2 at \1', 'g')"
+    return f"replace(regexp_replace({out}, 'license', 'LICENCE', 'gi'), 'OF-THE', 'of_the')"
+
+
+@query("q06_chain", f"SELECT doc_id, {_chain_sql('text')} AS new_text, {_chain_sql('text')} <> text AS changed FROM documents")
+def q06(spark, sf_dir):
+    """A chain of rules, each on what the one before it wrote."""
+    return flagship(spark, sf_dir)
+
+
+@query("q07_pages", "SELECT conv_id, turn, CASE WHEN turn + 1 BETWEEN 1 AND 2 OR turn + 1 = 4 OR turn + 1 >= 6 THEN replace(text, 'the', 'THE') ELSE text END AS new_text FROM conversations")
+def q07(spark, sf_dir):
+    """Page ranges."""
+    turns = table(spark, sf_dir, "conversations").withColumn("page", F.col("turn") + 1)
+    return R.rewrite(turns, [RuleSpec("the", "THE", pages="1-2, 4, 6-")], page_col="page").select("conv_id", "turn", "new_text")
+
+
+@query("q08_link_rules", "SELECT page_id, replace(url, '://', '+secure://') AS new_uri, replace(url, '://', '+secure://') <> url AS changed FROM pages")
+def q08(spark, sf_dir):
+    """Link rule; page ranges don't bind it."""
+    return R.rewrite_links(table(spark, sf_dir, "pages"), [RuleSpec("://", "+secure://", pages="7", targets=("links",))], "url").select("page_id", "new_uri", "changed")
+
+
+@query("q09_links", """SELECT page_id, (unnest(generate_series(1, len(l))) - 1)::INT AS ord, unnest(l) AS uri FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
+def q09(spark, sf_dir):
+    """Links in order."""
+    return R.extract_links(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query("q10_rule_stats", r"SELECT 0 AS rule_idx, sum(len(regexp_extract_all(text, 'the')))::BIGINT AS matches, count(*) FILTER (WHERE contains(text, 'the')) AS rows FROM documents UNION ALL SELECT 1, sum(len(regexp_extract_all(replace(text, 'the', 'that'), 'that')))::BIGINT, count(*) FILTER (WHERE contains(replace(text, 'the', 'that'), 'that')) FROM documents")
+def q10(spark, sf_dir):
+    """Totals by rule, the second counted on the first one's output."""
+    return R.rule_stats(R.rewrite(table(spark, sf_dir, "documents"), [RuleSpec("the", "that"), RuleSpec("that", "THAT")]))
+
+
+@query("q11_changed_by_language", "SELECT lang, count(*) FILTER (WHERE contains(text, 'the')) AS changed, count(*) AS docs FROM documents GROUP BY lang")
+def q11(spark, sf_dir):
+    """Changed documents by language."""
+    out = R.rewrite(table(spark, sf_dir, "documents"), [RuleSpec("the", "THE")])
+    return out.groupBy("lang").agg(F.count_if("changed").alias("changed"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("q12_untouched", "SELECT doc_id, md5(text) AS before, md5(text) AS after FROM documents WHERE NOT contains(text, 'the')")
+def q12(spark, sf_dir):
+    """What no rule matches stays as it was."""
+    out = R.rewrite(table(spark, sf_dir, "documents"), [RuleSpec("the", "THE")]).where("not changed")
+    return out.select("doc_id", F.md5("text").alias("before"), F.md5("new_text").alias("after"))
+
+
+@query("q13_dump", "SELECT conv_id, turn, concat('=== page ', turn + 1, ' ===', chr(10), text, chr(10)) AS dump FROM conversations")
+def q13(spark, sf_dir):
+    """Text dump with page labels."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("=== page "), (F.col("turn") + 1).cast("string"), F.lit(" ===\n"), "text", F.lit("\n")).alias("dump"))
+
+
+_PREFIX = "list_max(list_filter(range(0, least(length({a}), length({b}))::BIGINT + 1), lambda n: left({a}, n) = left({b}, n)))"
+
+
+@query(
+    "q14_minimal_edit",
+    f"WITH p AS (SELECT p_partkey, a, b, {_PREFIX.format(a='a', b='b')} AS f FROM (SELECT p_partkey, p_name AS a, replace(p_name, 'e', 'ee') AS b FROM part)), "
+    f"q AS (SELECT *, reverse(substr(a, f + 1)) AS ra, reverse(substr(b, f + 1)) AS rb FROM p) "
+    f"SELECT p_partkey, f::INT AS keep_front, {_PREFIX.format(a='ra', b='rb')}::INT AS keep_back, substr(b, f + 1, length(b) - f - {_PREFIX.format(a='ra', b='rb')}) AS edit_text FROM q",
+)
+def q14(spark, sf_dir):
+    """The smallest edit between a string and its replacement."""
+    pairs = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("old"), F.replace("p_name", F.lit("e"), F.lit("ee")).alias("new"))
+    return M.minimal_edit(pairs, "old", "new").select("p_partkey", "keep_front", "keep_back", "edit_text")
+
+
+@query(
+    "q15_match_offsets",
+    "WITH s AS (SELECT doc_id, string_split(text, 'license') AS l FROM documents), u AS (SELECT doc_id, unnest(generate_series(1, len(l) - 1)) AS i, l FROM s) "
+    "SELECT doc_id, (i - 1)::INT AS match_no, (list_sum([length(x) FOR x IN l[1:i]]) + 7 * (i - 1))::INT AS cs, (list_sum([length(x) FOR x IN l[1:i]]) + 7 * i)::INT AS ce FROM u",
+)
+def q15(spark, sf_dir):
+    """Matches with positions."""
+    return M.matches(table(spark, sf_dir, "documents"), [RuleSpec("license", "licence")], "doc_id").select("doc_id", "match_no", "cs", "ce")
+
+
+_GLYPHS = "SELECT l_orderkey, l_linenumber, l_quantity - lag(l_quantity) OVER w AS step, l_discount * 10 - lag(l_discount) OVER w * 10 AS rise, row_number() OVER w AS n FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)"
+
+
+def _glyphs(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return S.first_wins(lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")])
+
+
+@query("q16_separators", f"SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN '' WHEN abs(rise) > 0.5 OR step < -0.5 THEN chr(10) WHEN step > 0.15 THEN ' ' ELSE '' END AS sep FROM ({_GLYPHS})")
+def q16(spark, sf_dir):
+    """What is between neighbours, inferred from their positions."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    step = F.col("l_quantity") - F.lag("l_quantity").over(w)
+    rise = F.col("l_discount") * 10 - F.lag("l_discount").over(w) * 10
+    glyphs = _glyphs(spark, sf_dir).withColumns({"step": step, "rise": rise})
+    return S.separators(glyphs, ["l_orderkey"], [F.col("l_linenumber")], F.col("step"), F.col("rise")).select("l_orderkey", "l_linenumber", "sep")
+
+
+@query("q17_next_kept", "SELECT l_orderkey, l_linenumber, l_partkey, first_value(CASE WHEN l_returnflag <> 'N' THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_part FROM lineitem")
+def q17(spark, sf_dir):
+    """The next neighbour that stays."""
+    lines = table(spark, sf_dir, "lineitem")
+    out = S.next_kept(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], F.col("l_partkey"), F.col("l_returnflag") != "N", "next_part")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "next_part")
+
+
+@query("q18_first_wins", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
+def q18(spark, sf_dir):
+    """The newest entry of each key."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return S.first_wins(orders, ["o_custkey"], [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "q19_walk",
+    "WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), "
+    "w AS (SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS root, 0 AS hops FROM region UNION ALL SELECT child, root, hops + 1 FROM w JOIN e ON parent = node) SELECT root, hops, count(*) AS nodes FROM w GROUP BY root, hops",
+)
+def q19(spark, sf_dir):
+    """A tree walk with a guard against cycles."""
+    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = nation.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).union(customer.select(name("n", "c_nationkey"), name("c", "c_custkey")))
+    seen = S.walk(edges, region.select(name("r", "r_regionkey").alias("root")))
+    return seen.groupBy("root", "hops").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+_CHARS = "SELECT DISTINCT {g} unnest(string_split({t}, '')) AS ch FROM {f}"
+
+
+@query("q20_missing_characters", f"SELECT lang, ch FROM (SELECT DISTINCT lang, n.ch FROM documents, ({_CHARS.format(g='', t='text', f='benchmark')}) n) EXCEPT SELECT lang, ch FROM ({_CHARS.format(g='lang,', t='text', f='documents')})")
+def q20(spark, sf_dir):
+    """Characters that the benchmark needs and a language's documents never use (languages and characters are few)."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    needed = S.characters(bench.withColumn("g", F.lit(0)), "g", "text").agg(F.collect_set("ch").alias("all"))
+    langs = docs.groupBy("lang").agg(F.lit(0).alias("g")).select("lang", F.lit(needed.first()["all"]).alias("all"))
+    return S.missing(langs.select("lang", F.explode("all").alias("ch")), S.characters(docs, "lang", "text"), ["lang", "ch"])
+
+
+@query("q21_size_guard", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 200)) WHERE before < 500000")
+def q21(spark, sf_dir):
+    """The largest candidates until a budget is met."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return S.within_budget(docs, F.col("n_chars"), F.col("doc_id"), 500_000)
+
+
+@query("q22_islands", "SELECT l_suppkey, min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT l_suppkey, k, sum(new) OVER (PARTITION BY l_suppkey ORDER BY k) AS i FROM (SELECT l_suppkey, k, CASE WHEN k - lag(k) OVER (PARTITION BY l_suppkey ORDER BY k) <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM lineitem))) GROUP BY l_suppkey, i")
+def q22(spark, sf_dir):
+    """Runs of numbers, holes of one bridged."""
+    keys = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("k")).distinct()
+    return S.islands(keys, ["l_suppkey"], "k")
+
+
+@query("q25_map_order", "SELECT p_name AS search, (row_number() OVER (ORDER BY octet_length(encode(p_name)) DESC, p_name) - 1)::INT AS rule_idx FROM (SELECT DISTINCT p_name FROM part)")
+def q25(spark, sf_dir):
+    """Rules of a map, longest search first."""
+    from pyspark.sql import Window
+
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("search")).distinct()
+    at = F.row_number().over(Window.orderBy(F.octet_length("search").desc(), "search")) - 1
+    return names.select("search", at.alias("rule_idx"))
+
+
+_FONTS = ["Helvetica-Bold", "ABCDEF+TimesNewRomanPS-ItalicMT", "CMTT10", "XYZABC+Consolas-Bold", "Unknown", "NimbusRomNo9L-Medi", "AAAAAA+", "Georgia-BoldItalic"]
+
+
+@query(
+    "q26_font_style",
+    "SELECT name, CASE WHEN regexp_matches(low, 'courier|mono|consolas|menlo|typewriter|cmtt') THEN 'mono' WHEN regexp_matches(low, 'sans|helvetica|arial|calibri|verdana|tahoma|roboto|cmss') THEN 'sans' WHEN regexp_matches(low, '" + "|".join(T.SERIF) + "') THEN 'serif' ELSE 'sans' END AS family, "
+    "regexp_matches(low, 'bold|black|heavy|cmbx|-bd|demi|medi-|medi$') AS bold, regexp_matches(low, 'italic|oblique|cmti|-it') AS italic FROM (SELECT name, lower(regexp_replace(name, '^[A-Z]{6}\\+(.)', '\\1')) AS low FROM (VALUES " + ", ".join(f"('{n}')" for n in _FONTS) + ") t(name))",
+)
+def q26(spark, sf_dir):
+    """Font styles from names."""
+    family, bold, italic = T.font_style(F.col("name"))
+    return spark.createDataFrame([(n,) for n in _FONTS], "name string").select("name", family.alias("family"), bold.alias("bold"), italic.alias("italic"))
