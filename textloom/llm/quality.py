@@ -29,8 +29,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SAMPLE, THRESHOLD = 12_000, 0.5
-SPACE = 1 << 20
+SAMPLE, THRESHOLD = 10_000, 0.5
+#: Features are hashed into so many places; few of them get a weight.
+SPACE = 1 << 31
+#: Each round of training shows this share of the features, so that one of several that go together is enough later.
+DROPOUT = 0.3
+#: Only features of which so many sightings are in bad documents can weigh at all.
+PURE = 0.9
 GOOD, BAD, NONE = 0, 1, 2
 #: Insults (fixed values).
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile bastard filth vermin".split()
@@ -98,7 +103,7 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, Parts]]:
         letters = np.maximum(_bounds_sum(letter, offsets), 1)
         forms = np.stack([_bounds_sum(symbol, bounds) / count, _bounds_sum(again, bounds) / count, _bounds_sum(bar, bounds) / count, _bounds_sum(upper, offsets) / letters, _bounds_sum(_member(pure, _FUNCTION), pure_bounds) / pure_count, np.diff(bounds).astype(float)], axis=1)
         insults = _bounds_sum(_member(pure, _INSULTS), pure_bounds)
-        # stems: whole words and their first 4, 5 and 6 bytes
+        # stems: whole words and their first 4 to 8 bytes
         low = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32) if n else data
         inside = (((low - np.uint8(97)) < 26) | ((low - np.uint8(48)) < 10) | (low >= 128)) if n else spaced
         begin = inside.copy()
@@ -114,7 +119,7 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, Parts]]:
         length = np.minimum(run[begins] if n else run, row_end) - begins
         stem = [pure ^ np.uint64(11)]
         which = [np.arange(len(pure))]
-        for size in (4, 5, 6):
+        for size in (4, 5, 6, 7, 8):
             long = np.flatnonzero(length > size)
             h = (total[begins[long] + size] - total[begins[long]]) * K.powers(K.INVERSE, max(n, 1))[begins[long]]
             stem.append(K.mix(h) ^ np.uint64(size))
@@ -171,44 +176,60 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Scorer:
-    """Weights over the hashed space; most are zero."""
+    """Weights of some places of the hashed space (sorted); all others weigh nothing."""
 
+    places: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def find(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of every feature that has a weight."""
+        flat = np.concatenate([*features, np.zeros(0, np.int32)])
+        row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+        if not len(self.places):
+            return row[:0], row[:0]
+        at = np.minimum(np.searchsorted(self.places, flat), len(self.places) - 1)
+        known = self.places[at] == flat
+        return row[known], at[known]
+
     def __call__(self, features: list[np.ndarray]) -> np.ndarray:
-        s = np.array([self.weights[f].sum() for f in features]) + self.bias
+        row, at = self.find(features)
+        s = np.bincount(row, weights=self.weights[at], minlength=len(features)) + self.bias
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
-def fit_scorer(features: list[np.ndarray], bad: np.ndarray, least: float = 25.0, epochs: int = 60) -> Scorer:
+def fit_scorer(features: list[np.ndarray], bad: np.ndarray, least: float = 25.0, epochs: int = 120) -> Scorer:
     """Logistic regression on the features that pass a G-test against the soft labels."""
-    weights = np.zeros(SPACE)
+    none = np.zeros(0, np.int32)
     n, b = len(features), float(bad.sum())
     if not n or b < 1 or n - b < 1:
-        return Scorer(weights, -50.0 if b < 1 else 0.0)
-    flat = np.concatenate(features)
+        return Scorer(none, np.zeros(0), -50.0 if b < 1 else 0.0)
     row = np.repeat(np.arange(n), [len(f) for f in features])
-    seen = np.bincount(flat, minlength=SPACE).astype(float)
-    with_bad = np.bincount(flat, weights=bad[row], minlength=SPACE)
-    g = np.zeros(SPACE)
+    places, flat = np.unique(np.concatenate(features), return_inverse=True)
+    seen = np.bincount(flat).astype(float)
+    with_bad = np.bincount(flat, weights=bad[row])
+    g = np.zeros(len(places))
     for got, all_ in ((with_bad, b), (seen - with_bad, n - b)):
         for o, e in ((got, seen * all_ / n), (all_ - got, (n - seen) * all_ / n)):
             g += 2 * np.where(o > 1e-9, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-    chosen = (g >= least) & (with_bad / np.maximum(seen, 1) > 2 * b / n)
+    chosen = (g >= least) & (with_bad >= PURE * seen)
     keep = chosen[flat]
-    flat, row = flat[keep], row[keep]
-    bias, step = float(np.log(b / (n - b))) - 2.0, np.zeros(SPACE)
-    bias_step = 0.0
+    flat, row, places = (np.cumsum(chosen) - 1)[flat[keep]], row[keep], places[chosen]
+    m = len(places)
+    weights, step = np.zeros(m), np.zeros(m)
+    bias, bias_step = float(np.log(b / (n - b))) - 2.0, 0.0
+    rng = np.random.default_rng(0)
     for _ in range(epochs):
-        s = np.bincount(row, weights=weights[flat], minlength=n) + bias
+        shown = rng.random(len(flat)) < DROPOUT
+        f, r = flat[shown], row[shown]
+        s = np.bincount(r, weights=weights[f], minlength=n) + bias
         error = 1 / (1 + np.exp(-np.clip(s, -50, 50))) - bad
-        grad = np.bincount(flat, weights=error[row], minlength=SPACE) + 0.02 * weights
+        grad = np.bincount(f, weights=error[r], minlength=m) + 0.02 * weights
         step += grad**2
         weights -= 0.7 * grad / np.sqrt(step + 1e-6)
         bias_step += error.sum() ** 2
         bias -= 0.7 * error.sum() / np.sqrt(bias_step + 1e-6)
-    return Scorer(np.where(chosen, weights, 0.0), bias)
+    return Scorer(places, weights, bias)
 
 
 @dataclass
@@ -255,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     insults = np.where(np.array(got["insults"]) > 0, BAD, NONE)
     # the mining labeller knows stems that insulting or marked documents have and no other ones
     known = np.where(toxic != NONE, toxic == BAD, insults == BAD).astype(float)
-    mined = fit_scorer(stems, known, epochs=1).weights > 0
-    votes = np.array([BAD if mined[s].any() else GOOD for s in stems])
+    votes = np.full(len(stems), GOOD)
+    votes[fit_scorer(stems, known, epochs=0).find(stems)[0]] = BAD
     bad_toxic, toxic_rates = label_model(np.column_stack([insults, votes, toxic]))
     features = [np.concatenate([e, lv]) for e, lv in zip(endings, levels(forms), strict=True)]
     return Classifier(fit_scorer(features, bad_form), fit_scorer(stems, bad_toxic), form_rates, toxic_rates)
