@@ -167,12 +167,12 @@ def q15(spark, sf_dir):
     return M.matches(table(spark, sf_dir, "documents"), [RuleSpec("license", "licence")], "doc_id").select("doc_id", "match_no", "cs", "ce")
 
 
-_GLYPHS = "SELECT l_orderkey, l_linenumber, l_quantity - lag(l_quantity) OVER w AS step, l_discount * 10 - lag(l_discount) OVER w * 10 AS rise, row_number() OVER w AS n FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)"
+_GLYPHS = "SELECT l_orderkey, l_linenumber, l_quantity - lag(l_quantity) OVER w AS step, l_discount * 10 - lag(l_discount) OVER w * 10 AS rise, row_number() OVER w AS n FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)"
 
 
 def _glyphs(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    return S.first_wins(lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")])
+    return S.first_wins(lines, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount")])
 
 
 @query("q16_separators", f"SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN '' WHEN abs(rise) > 0.5 OR step < -0.5 THEN chr(10) WHEN step > 0.15 THEN ' ' ELSE '' END AS sep FROM ({_GLYPHS})")
@@ -187,19 +187,19 @@ def q16(spark, sf_dir):
     return S.separators(glyphs, ["l_orderkey"], [F.col("l_linenumber")], F.col("step"), F.col("rise")).select("l_orderkey", "l_linenumber", "sep")
 
 
-@query("q17_next_kept", "SELECT l_orderkey, l_linenumber, l_partkey, first_value(CASE WHEN l_returnflag <> 'N' THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_part FROM lineitem")
+@query("q17_next_kept", "SELECT l_orderkey, l_linenumber, l_partkey, first_value(CASE WHEN l_returnflag <> 'N' THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_part FROM lineitem")
 def q17(spark, sf_dir):
     """The next neighbour that stays."""
     lines = table(spark, sf_dir, "lineitem")
-    out = S.next_kept(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], F.col("l_partkey"), F.col("l_returnflag") != "N", "next_part")
+    out = S.next_kept(lines, ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")], F.col("l_partkey"), F.col("l_returnflag") != "N", "next_part")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "next_part")
 
 
-@query("q18_first_wins", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
+@query("q18_first_wins", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey, o_totalprice) = 1")
 def q18(spark, sf_dir):
     """The newest entry of each key."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    return S.first_wins(orders, ["o_custkey"], [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+    return S.first_wins(orders, ["o_custkey"], [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey"), F.col("o_totalprice")]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query(
