@@ -264,3 +264,66 @@ def q26(spark, sf_dir):
     """Font styles from names."""
     family, bold, italic = T.font_style(F.col("name"))
     return spark.createDataFrame([(n,) for n in _FONTS], "name string").select("name", family.alias("family"), bold.alias("bold"), italic.alias("italic"))
+
+
+def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a PDF for each turn that a one-byte font and its line breaks can show as it is."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from .pdf.make import text_pdf
+
+    turns = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[ -~]+(?:\n[ -~]+)*\z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_pdf([t]) for t in b.column(1).to_pylist()], pa.binary())], ["path", "content"])
+
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("path"), "text").mapInArrow(run, "path string, content binary")
+
+
+_PLAIN_TURNS = "FROM conversations WHERE regexp_full_match(text, '[ -~]+(\\n[ -~]+)*')"
+
+
+@query("q23_codecs", "SELECT doc_id, octet_length(encode(text)) AS size, true AS same FROM documents")
+def q23(spark, sf_dir):
+    """Every codec gives back what it was given."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+        import zlib
+
+        from .pdf.codecs import decode
+
+        for b in batches:
+            sizes, same = [], []
+            for t in b.column(1).to_pylist():
+                t = t.encode()
+                forms = ((b"FlateDecode", zlib.compress(t)), (b"ASCIIHexDecode", t.hex().encode()), (b"ASCII85Decode", base64.a85encode(zlib.compress(t))))
+                sizes.append(len(t))
+                same.append(decode([(forms[0][0], None)], forms[0][1]) == decode([(forms[1][0], None)], forms[1][1]) == decode([(forms[2][0], None), (b"FlateDecode", None)], forms[2][1]) == t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(same)], ["doc_id", "size", "same"])
+
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, size long, same boolean")
+
+
+@query("q24_pdf_text", f"SELECT conv_id || '-' || turn AS path, 1 AS page, text {_PLAIN_TURNS}")
+def q24(spark, sf_dir):
+    """Text of PDF files."""
+    from .sources.pdf import extract_text
+
+    return extract_text(_pdfs(spark, sf_dir)).select("path", "page", "text")
+
+
+@query("q27_pdf_rewrite", f"SELECT conv_id || '-' || turn AS path, contains(text, 'the') AS changed, replace(text, 'the', 'THOSE') AS text {_PLAIN_TURNS}")
+def q27(spark, sf_dir):
+    """A rule on PDF files, read back from the new files."""
+    from .sources.pdf import extract_text, rewrite_pdf
+
+    out = rewrite_pdf(_pdfs(spark, sf_dir), [RuleSpec("the", "THOSE")]).select(F.concat_ws("|", "path", "changed").alias("path"), "content")
+    parts = F.split("path", r"\|")
+    return extract_text(out).select(parts[0].alias("path"), (parts[1] == "true").alias("changed"), "text")
