@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     (position, row, start, words): so many words of a document, from word ``start`` on, at a position of the mix."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep)
-    own = cut(own.withColumn("key", F.expr(f"xxhash64(doc_id, {seed}L) & 1099511627775L")))
+    own = cut(own.withColumn("key", F.expr(f"cast(conv(substring(md5(concat({seed}, ':', coalesce(cast(doc_id as string), ''))), 1, 10), 16, 10) as long)")))
     targets = cut(source_targets(own, weights, share, most))
     bits = min(24, max(0, (own.count() // RANGE_DOCS).bit_length()))
     names = targets.select(F.col("source").alias("_source"), "rk", "source_size", "target", "quota")
@@ -101,3 +101,15 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     placed, entries = mix(docs)
     taken = entries.groupBy("row").agg(F.sum("words").alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+#: The digest in SQL: whole passes and the rest of each source's target over its documents in shuffled order.
+ORACLE_SQL = r"""
+WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS key FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY source),
+ranked AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rk, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM src),
+level AS (SELECT *, cap / weight <= (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM ranked),
+goal AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE weight * (budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT filled THEN weight END) OVER () END AS target FROM level),
+placed AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY own.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM own JOIN goal ON own.source IS NOT DISTINCT FROM goal.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size * size + least(greatest(quota % source_size - start, 0), size) END)::BIGINT AS taken FROM placed
+"""
