@@ -35,6 +35,8 @@ class Entry:
 class Document:
     """One PDF file in memory."""
 
+    level = 9  # of compression, for streams that change
+
     def __init__(self, data: bytes, password: str | None = None):
         if b"%PDF-" not in data[:1024]:
             raise PdfError("not a PDF file")
@@ -366,7 +368,7 @@ class Document:
             raw = s.new
             if b"Filter" in d:
                 d.set(b"Filter", Name(b"FlateDecode"))
-                raw = codecs.deflate(raw)
+                raw = codecs.deflate(raw, self.level)
             d.drop(b"DecodeParms")
             if self.crypt:
                 raw = self.crypt.apply(self.crypt.stream_method(d), num, e.gen, raw, True)

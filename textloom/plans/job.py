@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--password")
     p.add_argument("--fallback-font", choices=sorted(FONTS), default="auto")
     p.add_argument("--fit", choices=("auto", "strict", "none"), default="auto")
+    p.add_argument("--compression", choices=("max", "best", "fast"), default="best")
     for flag in ("allow-growth", "dry-run", "dump-text", "strict", "quiet", "rewrite-all"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
@@ -61,7 +62,7 @@ def run(spark: SparkSession, argv: Sequence[str], say=print) -> int:
         for r in dump(files, a.password).toLocalIterator():
             say(f"===== {r['path']} page {r['page']} {r['kind']} =====\n{r['line']}")
         return 0
-    options = Options(FONTS[a.fallback_font], a.fit, a.allow_growth, not a.rewrite_all)
+    options = Options(FONTS[a.fallback_font], a.fit, a.compression, a.allow_growth, not a.rewrite_all)
     out = pdf.rewrite_pdf(files, rules, password=a.password, options=options).persist()
     try:
         for r in out.where("error is not null").select("path", "error").toLocalIterator():
