@@ -246,9 +246,12 @@ def test_banded_distance(spark):
         b = changed(rng, a, rng.randrange(5)) or "x"
         if abs(len(a) - len(b)) <= 2:
             pairs.append((a, b))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.banded_distance(F.col("a"), F.col("b"), 2)).collect()
-    for a, b, d in got:
-        assert min(d, 3) == min(edits(a, b), 3)
+    pairs += [("same", "same"), ("ab", "abcd"), ("xab", "ab")]
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.banded_distance(a, b, 2), line_dedup.edit_distance(a, b, 2), (F.length("a") < 7) | (F.length("b") < 7) | line_dedup.segments_fit(a, b, 2)).collect()
+    for a, b, d, e, fits in got:
+        assert min(d, 3) == min(e, 3) == min(edits(a, b), 3)
+        assert fits or d > 2
 
 
 def test_line_dedup(spark):

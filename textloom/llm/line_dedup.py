@@ -7,8 +7,9 @@ never dropped). Of each class the first line (least document id, then line numbe
 Two lines within t edits share one of t + 1 even segments of the shorter line, at a place that the number of
 edits to its left and right bounds. Each line is indexed by its segments, keyed by length, segment number and content, and
 probes with its substrings at those places for its own and the t next smaller lengths; no filter but this loses or
-adds a pair. Candidates are distinct pairs of different lines and are verified by a bit-parallel edit
-distance on the band of 2t + 1 diagonals, one machine word however long the lines are. Equal lines were
+adds a pair. Candidates are distinct pairs of different lines; they must share enough of 2t + 2 smaller segments, and
+what is left between their common start and end is verified by a bit-parallel edit distance on the
+band of 2t + 1 diagonals, one machine word however long the lines are. Equal lines were
 merged before (by 64-bit hash and length), so a line that very many documents share costs one entry.
 
 Null texts have no lines; empty texts have one blank line. Null ids sort first. Repeated rows: the second
@@ -58,10 +59,9 @@ def banded_distance(a: Column, b: Column, t: int) -> Column:
     one bit vector each for +1 and -1, and one addition carries matches down the column."""
     width = 2 * t + 1
     full = (1 << width) - 1
-    state = F.struct(F.lit(((1 << (t + 1)) - 1) << t).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(t).alias("dist"))
-
     def measured(s: Column) -> Column:
         p, q, m = s["p"], s["q"], F.size(s["p"])
+        state = F.struct(F.lit(((1 << (t + 1)) - 1) << t).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(m, F.lit(t)).alias("dist"))
 
         def column(x: Column, j: Column) -> Column:
             c = F.get(q, j)
@@ -92,6 +92,59 @@ def banded_distance(a: Column, b: Column, t: int) -> Column:
     return let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q")), measured)
 
 
+def common_start(a: Column, b: Column) -> Column:
+    """How many characters two strings share in front: found by halving, with whole pieces compared at once."""
+    n = F.least(F.length(a), F.length(b))
+    steps = F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1))
+
+    def step(p: Column, e: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), e)
+        return F.when((p + size <= n) & (F.substring(a, p + 1, size) == F.substring(b, p + 1, size)), p + size).otherwise(p)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def edit_distance(a: Column, b: Column, t: int) -> Column:
+    """The banded distance of what is left between the common start and the common end, which no edit touches."""
+
+    def without_start(x: Column) -> Column:
+        def cut_start(n: Column) -> Column:
+            return F.struct(F.reverse(F.substr(x["a"], n + 1)).alias("a"), F.reverse(F.substr(x["b"], n + 1)).alias("b"))
+
+        return let(common_start(x["a"], x["b"]), cut_start)
+
+    def middle(z: Column) -> Column:
+        x, y = z["a"], z["b"]
+        # both ends differ now, which takes an edit each: of t - 1 pieces of what lies between, one is whole in the other
+        core, n, parts = F.substring(x, F.lit(2), F.length(x) - 2), F.length(x) - 2, max(t - 1, 1)
+        whole_piece = F.lit(t < 2) | (n < parts)
+        for i in range(parts):
+            place, size = segment(n, i, parts)
+            whole_piece = whole_piece | F.contains(y, F.substring(core, place, size))
+        return F.when(x == "", F.length(y)).when(y == "", F.length(x)).when(~whole_piece, F.lit(t + 1)).otherwise(banded_distance(x, y, t))
+
+    whole = F.struct(a.alias("a"), b.alias("b"))
+    return let(let(let(whole, without_start), without_start), middle)
+
+
+def segments_fit(a: Column, b: Column, t: int) -> Column:
+    """True unless too few of 2t + 2 even segments of the shorter string occur in the other one within t places:
+    t edits damage t segments at most, so no pair is lost."""
+    parts = 2 * t + 2
+
+    def count(x: Column) -> Column:
+        short, long, n = x["s"], x["l"], x["n"]
+        total = F.lit(0)
+        for i in range(parts):
+            place, size = segment(n, i, parts)
+            near = F.substring(long, F.greatest(place - t, F.lit(1)), size + 2 * t)
+            total = total + F.contains(near, F.substring(short, place, size)).cast("int")
+        return total >= parts - t
+
+    swap = F.length(a) > F.length(b)
+    return let(F.struct(F.when(swap, b).otherwise(a).alias("s"), F.when(swap, a).otherwise(b).alias("l"), F.least(F.length(a), F.length(b)).alias("n")), count)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of the ids in (a, b) links, the least id being the root: each round takes the least root around, then that one's root."""
     links = cut(links.union(links.select("b", "a")))
@@ -124,7 +177,8 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     wanted = long.select("id", "line").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
     texts = cut(wanted.groupBy("id").agg(F.first("line").alias("line")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
+    both = both.where(segments_fit(F.col("x"), F.col("y"), threshold))
+    return cut(both.where(edit_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"))
 
 
 def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
