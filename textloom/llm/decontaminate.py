@@ -112,13 +112,15 @@ class Items:
             at = np.minimum(np.searchsorted(self.table, hashes[maybe]), len(self.table) - 1)
             good = self.table[at] == hashes[maybe]
             places, at = maybe[good], at[good]
+            if not len(places):
+                continue
             n = self.stop[at] - self.start[at]
             item = self.owner[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             places = np.repeat(places, n)
             rows = np.searchsorted(ends, places, side="right") - 1
             order = np.lexsort((places, item, rows))
             rows, item, places = rows[order], item[order], places[order]
-            heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (item[1:] != item[:-1])])) if len(rows) else []
+            heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (item[1:] != item[:-1])]))
             for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
                 row, i = int(rows[a]), int(item[a])
                 if b - a >= self.threshold * len(self.shingles[i]) and bounds[row + 1] - bounds[row] >= SHINGLE:
