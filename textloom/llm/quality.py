@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SAMPLE, THRESHOLD = 10_000, 0.5
+SAMPLE, THRESHOLD = 8_000, 0.5
 #: Features are hashed into so many places; few of them get a weight.
 SPACE = 1 << 31
 #: Each round of training shows this share of the features, so that one of several that go together is enough later.
 DROPOUT = 0.3
+#: Rarer features than this can't pass the test and are not looked at.
+LEAST_SEEN = 3
 #: Only features of which so many sightings are in bad documents can weigh at all.
 PURE = 0.9
 GOOD, BAD, NONE = 0, 1, 2
@@ -128,7 +130,9 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, Parts]]:
         owner = np.searchsorted(pure_bounds, which, side="right") - 1
         ending = (e1.astype(np.int64) * 256 + e2) % SPACE
         ending_owner = np.searchsorted(bounds, np.arange(len(words)), side="right") - 1
-        yield first, Parts(forms, insults, _by_row(stem % np.uint64(SPACE), owner, rows), _by_row(ending, ending_owner, rows))
+        insulting = np.flatnonzero(insults > 0)
+        stem, owner = np.concatenate([stem % np.uint64(SPACE), np.full(len(insulting), SPACE - 38, np.uint64)]), np.concatenate([owner, insulting])
+        yield first, Parts(forms, insults, _by_row(stem, owner, rows), _by_row(ending, ending_owner, rows))
 
 
 def _by_row(values: np.ndarray, owner: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -148,9 +152,11 @@ def form_votes(forms: np.ndarray) -> np.ndarray:
 
 
 def levels(forms: np.ndarray) -> np.ndarray:
-    """Hashed features of the form shares: which tenth each lies in."""
+    """Hashed features of the form shares: which tenth each lies in, and whether any labeller calls the form bad."""
     tenth = np.concatenate([np.minimum((forms[:, :5] * 10).astype(int), 9), np.minimum(np.log2(forms[:, 5:] + 1).astype(int), 9)], axis=1)
-    return (SPACE - 100 + np.arange(6) * 10 + tenth).astype(np.int32)
+    places = SPACE - 100 + np.arange(6) * 10 + tenth
+    doubt = np.where((form_votes(forms) == BAD).any(axis=1), SPACE - 40, SPACE - 39)
+    return np.concatenate([places, doubt[:, None]], axis=1).astype(np.int32)
 
 
 def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -198,21 +204,31 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
-def fit_scorer(features: list[np.ndarray], bad: np.ndarray, least: float = 25.0, epochs: int = 120) -> Scorer:
-    """Logistic regression on the features that pass a G-test against the soft labels."""
+def fit_scorer(features: list[np.ndarray], bad: np.ndarray, epochs: int = 120) -> Scorer:
+    """Logistic regression on the features that pass a G-test against the soft labels, at a level at which
+    chance would let about one in three of such fits keep a feature that means nothing."""
     none = np.zeros(0, np.int32)
     n, b = len(features), float(bad.sum())
     if not n or b < 1 or n - b < 1:
         return Scorer(none, np.zeros(0), -50.0 if b < 1 else 0.0)
-    row = np.repeat(np.arange(n), [len(f) for f in features])
-    places, flat = np.unique(np.concatenate(features), return_inverse=True)
-    seen = np.bincount(flat).astype(float)
-    with_bad = np.bincount(flat, weights=bad[row])
+    flat = np.concatenate(features)
+    places, sightings = np.unique(flat, return_counts=True)
+    tested = len(places)
+    places = places[sightings >= LEAST_SEEN]
+    if not len(places):
+        return Scorer(none, np.zeros(0), -50.0)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
+    at = np.minimum(np.searchsorted(places, flat), len(places) - 1).astype(np.int32)
+    keep = places[at] == flat
+    flat, row = at[keep], row[keep]
+    del at, keep
+    seen = np.bincount(flat, minlength=len(places)).astype(float)
+    with_bad = np.bincount(flat, weights=bad[row], minlength=len(places))
     g = np.zeros(len(places))
     for got, all_ in ((with_bad, b), (seen - with_bad, n - b)):
         for o, e in ((got, seen * all_ / n), (all_ - got, (n - seen) * all_ / n)):
             g += 2 * np.where(o > 1e-9, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-    chosen = (g >= least) & (with_bad >= PURE * seen)
+    chosen = (g >= 2 * np.log(tested) + 2) & (with_bad >= PURE * seen)
     keep = chosen[flat]
     flat, row, places = (np.cumsum(chosen) - 1)[flat[keep]], row[keep], places[chosen]
     m = len(places)
@@ -272,8 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     stems, endings = lists("stems"), lists("endings")
     label = lambda c, bad: np.array([NONE if v is None else BAD if v == bad else GOOD for v in got[c].to_pylist()])
     quality, toxic = label("quality", 0), label("toxic", 1)
-    bad_form, form_rates = label_model(np.column_stack([form_votes(forms), quality]))
     insults = np.where(np.array(got["insults"]) > 0, BAD, NONE)
+    del got
+    bad_form, form_rates = label_model(np.column_stack([form_votes(forms), quality]))
     # the mining labeller knows stems that insulting or marked documents have and no other ones
     known = np.where(toxic != NONE, toxic == BAD, insults == BAD).astype(float)
     votes = np.full(len(stems), GOOD)
