@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import cut
 
-#: The sketch of shingle frequencies has 2**26 one-byte cells at most; it only shapes the order.
-SKETCH_BITS = 26
+#: The sketch of shingle frequencies has 2**24 one-byte cells at most; it only shapes the order.
+SKETCH_BITS = 24
 #: A block has so many sets and so many shingles at most (or one set).
-BLOCK_SETS, BLOCK_SHINGLES = 512, 200_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 80_000
 
 
 def _need(n: int, percent: int) -> int:
@@ -95,8 +95,7 @@ def _ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[np.argsort(sketch[s >> np.uint64(64 - len(sketch).bit_length() + 1)], kind="stable")]
 
 
-def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +219,7 @@ def trie_links(left: list[np.ndarray], left_sizes: np.ndarray, right: list[np.nd
     tree = _Trie(tree_sets, left_sizes)
     width = len(shared) + 1
     has = np.zeros((len(probe_sets), width), np.uint8)
-    left_after = np.zeros((len(probe_sets), 1), np.int64) + np.array([[len(p)] for p in probe_sets], dtype=np.int64).reshape(-1, 1)
+    lengths = np.array([len(p) for p in probe_sets], dtype=np.int64)
     for i, p in enumerate(probe_sets):
         has[i, p] = 1
     parent = list(range(len(probe_sets)))
@@ -243,10 +242,10 @@ def trie_links(left: list[np.ndarray], left_sizes: np.ndarray, right: list[np.nd
         to = min([len(tree.rows[lo]), *tree.lcp[lo + 1 : hi]])
         if to > depth:
             edge = tree.rows[lo][depth:to]
-            common = common + has[live][:, edge].sum(axis=1, dtype=np.int64)
+            common = common + has[live[:, None], edge[None, :]].sum(axis=1, dtype=np.int64)
         sizes = tree.sizes[lo:hi]
         longest = max(len(r) for r in tree.rows[lo:hi]) - to
-        bound = common + np.minimum(longest, left_after[live, 0] - common)
+        bound = common + np.minimum(longest, lengths[live] - common)
         stays = (bound >= need(probe_sizes[live], sizes.min())) & (100 * probe_sizes[live] >= percent * sizes.min()) & (percent * probe_sizes[live] <= 100 * sizes.max())
         live, common = live[stays], common[stays]
         if not len(live):
@@ -340,7 +339,9 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_col, text_col = "_id", "_text"
     cells = 1 << min(SKETCH_BITS, max(10, (256 * docs.count()).bit_length()))
-    every = cut(_prefixes(docs, id_col, text_col, k, percent, shingle_sketch(docs, text_col, k, cells)))
+    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text_col, k, cells))
+    every = cut(_prefixes(docs, id_col, text_col, k, percent, sketch))
+    sketch.destroy()  # the rows are written; workers would hold it until they end
     classes = every.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = cut(classes.select("rep", "n", "a", "b", "prefix"))
     # a class whose prefix shingles are all its own has no links
