@@ -360,6 +360,54 @@ def test_class_lm_is_a_distribution():
     assert len(words_) == 6
 
 
+def test_class_lm_gives_every_word_a_class(spark):
+    rng = random.Random(9)
+    # 60 frequent words, 400 others that follow the same pattern: those beyond the clustered and beyond the shared ones
+    pick = lambda a: f"{a}{rng.randrange(30)}" if rng.randrange(2) else f"{a}far{rng.randrange(200)}"
+    rows = [(i, " ".join(pick("xy"[j % 2]) for j in range(40)) + f" once{i}") for i in range(300)]
+    part = docs(spark, rows).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1).select("text")
+    counts = class_lm._tallied(part, lambda t, bounds: t)
+    model, others = class_lm.train(part, counts, classes=4, clustered=60, head=100)
+    texts = part.toArrow()["text"].combine_chunks()
+    seen, name = Counter(), {}
+    for r in texts.to_pylist():
+        seen.update(r.split())
+    for w in seen:
+        name[int(next(class_lm.tokens(pa.array([w])))[1][:1].view(np.int64)[0])] = w
+    cls = {int(h): int(c) for h, c in zip(model.head.view(np.int64), model.word_class, strict=True)}
+    for key, n, c in collected(others):
+        assert n == seen[name[key]] and c < model.rare_class
+        assert cls.setdefault(key, c) == c
+    kinds = {}
+    for key, c in cls.items():
+        if key in name and seen[name[key]] >= 5:
+            kinds.setdefault(c, set()).add(name[key][0])
+    assert all(len(k) == 1 for k in kinds.values()) and len(kinds) >= 2
+    # the transitions are those of plain Python over all words in their classes
+    place = {name[k]: c for k, c in cls.items() if k in name}
+    assert place.keys() == seen.keys()
+    want, once = np.zeros((6, 6)), np.zeros((6, 6))
+    for r in texts.to_pylist():
+        line = [5, *(place[w] for w in r.split()), 5]
+        new = [5, *(place[w] if seen[w] > 1 else 4 for w in r.split()), 5]
+        for a, b, x, y in zip(line[:-1], line[1:], new[:-1], new[1:], strict=True):
+            want[a, b] += 1
+            once[x, y] += 1
+    got = class_lm.transitions(part, model, others)
+    assert (got[0] == want).all() and (got[1] == once).all()
+    # probabilities after each class: every class, of which unknown words are one
+    assert np.allclose((10**model.step).sum(1), 1)
+    # and the scores those of plain Python
+    size = want.sum(0)
+    for d, _, _, _, _, _, score in collected(class_lm.score(docs(spark, rows), classes=4, clustered=60, head=100)):
+        line = [(5, 0.0)]
+        for w in rows[d][1].split():
+            c = place.get(w, 4)
+            line.append((c, 0.0 if c == 4 else math.log10(seen[w] / size[c])))
+        line.append((5, 0.0))
+        assert abs(score - sum(model.step[a[0], b[0]] + b[1] for a, b in zip(line[:-1], line[1:], strict=True))) < 1e-6
+
+
 # ---------- 9
 
 
