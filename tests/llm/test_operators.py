@@ -287,6 +287,19 @@ def test_line_dedup(spark):
     assert collected(line_dedup.line_digest(docs(spark, []))) == []
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghijklm .,") for _ in range(n)).strip(" ") for n in range(8, 36) for _ in range(3)]
+    lines = sorted({x for b in base for x in (b, changed(rng, b, 1), changed(rng, b, 2), changed(rng, b, 3))} | {"Are, is anwh reenen.", "Are. Is anwh reenen."})
+    near = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row long, doc_id long, text string")
+    name = {r[0]: r[1] for r in near.select(F.xxhash64("text", F.length("text")), "text").collect()}
+    got = {frozenset((name[a], name[b])) for a, b in collected(line_dedup.near_links(near))}
+    want = {frozenset((x, y)) for i, x in enumerate(lines) for y in lines[:i] if min(len(x), len(y)) >= 12 and edits(x, y) <= 2}
+    assert got == want and sum(len(min(p, key=len)) < 32 for p in want) > 50
+    found = collected(line_dedup.line_digest(docs(spark, [(1, "Are, is anwh reenen."), (2, "Are. Is anwh reenen.\nx")])))
+    assert sorted(found) == [(1, 1, 0, ""), (2, 2, 1, "0")]
+
+
 # ---------- 7
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-THRESHOLD, LEAST = 2, 32
+#: From 12 code points on, each of the three segments of a line has three at least (of the next smaller lengths, too).
+THRESHOLD, LEAST = 2, 12
 #: Texts of candidates are fetched by a broadcast join up to so many lines (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 100_000
 
