@@ -300,6 +300,16 @@ def test_line_dedup_of_short_lines(spark):
     assert sorted(found) == [(1, 1, 0, ""), (2, 2, 1, "0")]
 
 
+def test_dedup_lines_of_repeated_rows(spark):
+    one = "the first line of a text that stands twice\n\nand another line of it that stands twice"
+    rows = [(1, one), (1, one), (None, one), (None, "only here, in a row without an id"), (2, "only here, in the second document\n" + one), (3, None), (4, "")]
+    got = Counter(collected(line_dedup.dedup_lines(docs(spark, rows))))
+    # null ids sort first: their copy stays, all others go but for the blank line
+    assert got == Counter([(1, ""), (1, ""), (None, one), (None, rows[3][1]), (2, "only here, in the second document\n"), (3, None), (4, "")])
+    got = Counter(collected(line_dedup.dedup_lines(docs(spark, [(1, one), (1, one), (5, one)]))))
+    assert got == Counter([(1, one), (1, ""), (5, "")])
+
+
 # ---------- 7
 
 

@@ -182,9 +182,10 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     return cut(both.where(edit_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"))
 
 
-def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, pos, keep) for every line of every document."""
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, pos, keep) for every line of every document. Rows are numbered here unless ``row_col`` tells them apart."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    docs = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     every = cut(_lines(docs).select("row", "doc_id", "pos", "id", (F.trim("line") == "").alias("blank")))
     roots = components(near_links(docs, threshold, least))
     named = every.join(roots, "id", "left").select("row", "doc_id", "pos", "blank", F.coalesce("root", "id").alias("class"))
@@ -204,9 +205,9 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """(doc_id, text): the documents with the lines that go taken out, for use outside of reports."""
-    decided = line_decisions(docs, threshold, least)
-    gone = decided.where("not keep").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    joined = docs.join(gone, "doc_id", "left")
+    """(doc_id, text): the documents with the lines that go taken out, for use outside of reports. Null texts stay null."""
+    docs = cut(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    decided = line_decisions(docs, threshold, least, row_col="row")
+    gone = decided.where("not keep").groupBy("row").agg(F.collect_set("pos").alias("gone"))
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))
-    return joined.select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return docs.join(gone, "row", "left").select("doc_id", F.array_join(lines, "\n").alias("text"))
