@@ -330,6 +330,27 @@ def test_pii(spark):
     assert got[7][0][:4] == (0, 0, 0, 0) and got[7][0][5] == "iban:5:32"
     assert got[8][0][5].startswith("ssn:4:15")
     assert len(got[9]) == 1 and len(got[1]) == 2
+    assert collected(pii.pii_digest(docs(spark, []))) == []
+
+
+def test_pii_words_and_checksums(spark):
+    secret, digest = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "aee6bd0df9c0ee0ec23eb3c4e9fd1c3c65d50c6b"
+    rows = [
+        (1, f'x token = "{secret}" y'), (2, f"commit {digest} " + "z " * 30), (3, "password aaaaaaaaaaaaaaaaaaaaaaaaaaaa"),
+        (4, "invoice iban DE89370400440532013000"), (5, "invoice iban DE88370400440532013000"),
+    ]
+    got = {r[0]: r[6] for r in collected(pii.pii_digest(docs(spark, rows)))}
+    assert got == {1: "secret:11:51", 2: "", 3: "", 4: "iban:13:35", 5: ""}
+
+
+def test_redact_cuts_by_position(spark):
+    rows = [
+        (1, "1.2.3.4 and 1.2.3.45"), (2, "é iban DE89 3704 0044 0532 0130 00, ssn 123-45-6789."), (3, None), (4, ""), (5, "none"),
+        (6, "a@b.cc,+49 30 123456,4111 1111 1111 1111"), (7, "x" * 1_000 + " a@b.cc " + "y" * 1_000),
+    ]
+    got = {r["doc_id"]: r["redacted"] for r in pii.redact(pii.find_spans(docs(spark, rows))).collect()}
+    assert got[1] == "[ip] and [ip]" and got[2] == "é iban [iban], ssn [ssn]." and got[3] is None and got[4] == "" and got[5] == "none"
+    assert got[6] == "[email],[phone],[card]" and got[7] == "x" * 1_000 + " [email] " + "y" * 1_000
 
 
 # ---------- 8
