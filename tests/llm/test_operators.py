@@ -455,9 +455,34 @@ def test_class_lm_gives_every_word_a_class(spark):
 # ---------- 9
 
 
+def brute_components(rows, k, percent):
+    """(doc_id, set size, least id reached) of every row, in order."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows))
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_jaccard_components(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 12)
+    monkeypatch.setattr(jaccard_join, "HOT", 8)
     rng = random.Random(k)
     rows = []
     for i in range(30):
@@ -467,30 +492,34 @@ def test_jaccard_components(spark, k, percent, monkeypatch):
             for _ in range(rng.randrange(3)):
                 copy[rng.randrange(len(copy))] = rng.choice(["new", "words", copy[0]])
             rows.append((len(rows), " ".join(copy)))
-    rows += [(9_000, None), (9_001, ""), (9_002, " \n"), (None, rows[0][1]), (3, rows[3][1])]
-    sets = {}
-    for d, t in rows:
-        w = (t or "").lower().split()
-        if d is not None:
-            sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
-    root = {d: d for d in sets}
+    long = words(rng, 30_000, 5_000)
+    rows += [(9_000, None), (9_001, ""), (9_002, " \n"), (None, rows[0][1]), (3, rows[3][1]), (9_003, long), (9_004, long + " more"), (None, "a text that no other row has at all")]
+    assert Counter(collected(jaccard_join.ngram_components(docs(spark, rows), k, percent))) == brute_components(rows, k, percent)
+    assert collected(jaccard_join.ngram_components(docs(spark, []), k, percent)) == []
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    out = collected(jaccard_join.ngram_components(docs(spark, rows), k, percent))
-    assert len(out) == len(rows)
-    assert {(d, n, c) for d, n, c in out if d is not None} == {(d, len(s), find(d)) for d, s in sets.items()}
-    assert [c for d, _, c in out if d is None] == [None]
-    assert collected(jaccard_join.ngram_components(docs(spark, []), k, percent)) == []
+def test_jaccard_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(2)
+    a, b = words(rng, 60, 5_000), words(rng, 60, 5_000)
+    rows = [(5, a), (5, b), (6, a + " z"), (7, b + " z"), (None, b + " z y"), (8, b + " z y x")]
+    out = Counter(collected(jaccard_join.ngram_components(docs(spark, rows))))
+    assert out == brute_components(rows, 3, 90) and out[(7, 59, 5)] == 1
+    kept = jaccard_join.drop_near_copies(docs(spark, rows), 3, 90)
+    assert kept.columns == docs(spark, rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows[:2])
+
+
+def test_jaccard_chain_of_chance_likenesses(spark):
+    """Each text shares a rare passage with the next one only: one long chain of prefix shingles, and no links but two."""
+    rng = random.Random(3)
+    parts = [words(rng, 20, 100_000) for _ in range(400)]
+    rows = [(i, f"{parts[i]} {parts[i + 1]}") for i in range(399)]
+    rows += [(1_000, rows[7][1] + " q"), (1_001, rows[300][1] + " q")]
+    assert Counter(collected(jaccard_join.ngram_components(docs(spark, rows), 3, 90))) == brute_components(rows, 3, 90)
+    shared = spark.sparkContext.broadcast(np.zeros(1_024, np.uint8))
+    data = docs(spark, rows).select(F.lit("").alias("row"), "doc_id", "text", F.xxhash64("text").alias("print"))
+    first = jaccard_join._prefixes(data, 3, 90, shared).withColumnRenamed("doc_id", "rep")
+    assert max(r["count"] for r in jaccard_join._stars(first, 90, shared, 20_000).groupBy("center").count().collect()) <= 4
 
 
 # ---------- 10

@@ -3,22 +3,23 @@
 A document's set holds its distinct k-word shingles. Two documents link when
 ``percent * |union| <= 100 * |intersection|``; a component is what links reach.
 
-1. Documents with the same set are one class (a grouped aggregate, combined before the shuffle).
+1. Documents with the same set are one class (a grouped aggregate, combined before the shuffle) with a number of its own.
 2. One global order ranks shingles: by their count in a sketch of bounded size, rarest first, then by
    hash. Any fixed order gives the same links; this one fills the prefixes with rare shingles.
-3. Linked sets share a shingle of their prefixes. Classes that share one, directly or through others,
-   make a *family*; unrelated classes never meet. Families come from star contraction, not from pairs.
-4. A family is dealt out in blocks of bounded rows and shingles. A task holds one block as a trie over
+3. Linked sets share a shingle of their prefixes. All classes that hold a shingle there form a *star* around the
+   least of them; stars with the same centre are one. Two classes that share a prefix shingle are in one star, others need
+   never meet: nothing is closed transitively, so a long chain of chance likenesses stays a chain of small stars.
+4. A star is dealt out in blocks of bounded rows and shingles; small stars share a task. A task holds one block as a trie over
    the global order and walks it with another block's sets: what a path has in common with all probes
    is counted once, and a subtree ends where the shingles left can't reach the threshold any more.
-5. Links inside a task become a spanning forest; a last contraction joins the blocks of large families.
-   Before that, a family of several blocks is joined with its first block (pivots); blocks
-   that it unites wholly are never compared again, so a large group of copies costs linear work.
+5. Links inside a task become a spanning forest. A star of several blocks is joined with its first block
+   before (pivots); blocks that this unites wholly are never compared again, so a large group of copies costs linear work.
 
 Null or empty texts: an empty set, ``n_shingles`` 0, linked with nothing (component: the own id).
-Fewer than k words: the whole sequence is the only shingle. Repeated rows and ids: repeated rows stay,
-all with the same component. Null ids: n_shingles is given, component is null. Other columns are ignored.
-Shingles are compared by 64-bit hashes, sets by two such hashes and their size.
+Fewer than k words: the whole sequence is the only shingle. Every row counts by itself, whatever its id: rows of one id may hold
+different texts, and each links by its own; a row's component is then the least id that its own links reach. Null ids link and
+bridge like others; their component is the least id that they reach, null if there is none. Empty tables give no rows. Other
+columns are ignored. Shingles are compared by 64-bit hashes, sets by two such hashes and their size.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut
+from .common import Scratch, buckets_for
 
-#: The sketch of shingle frequencies has 2**24 one-byte cells at most; it only shapes the order.
+#: The sketch of shingle frequencies has 2**24 cells at most, of two bytes in a task and one (a level) in the result; it only shapes the order.
 SKETCH_BITS = 24
+#: Prefix shingles in cells of more than so many sightings are matched by joins, which split them, not by a task each.
+HOT = 20_000
 #: A block has so many sets and so many shingles at most (or one set).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 80_000
 
@@ -56,15 +59,15 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sketch(docs: DataFrame, text: str, k: int, cells: int) -> np.ndarray:
-    """How often shingles occur, counted in ``cells`` (a power of two) cells by hash and cut off at 255."""
+    """Levels (8 times the binary logarithm) of how often shingles occur, by hash in ``cells`` (a power of two) cells."""
     shift = np.uint64(64 - cells.bit_length() + 1)
     block = min(cells, 1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tally = np.zeros(cells, np.uint8), K.Tally()
+        held, tally = np.zeros(cells, np.uint16), K.Tally(500_000)
 
         def take(at: np.ndarray, n: np.ndarray) -> None:
-            held[at] = np.minimum(held[at] + n, 255).astype(np.uint8)
+            held[at] = np.minimum(held[at] + n, 65_535).astype(np.uint16)
 
         for batch in batches:
             for _, s in K.distinct_sets(batch.column(0), k):
@@ -72,61 +75,83 @@ def shingle_sketch(docs: DataFrame, text: str, k: int, cells: int) -> np.ndarray
                     take(*got)
         for got in tally.rest():
             take(*got)
-        some = [i for i in range(cells // block) if held[i * block : (i + 1) * block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([held[i * block : (i + 1) * block].tobytes() for i in some], pa.binary())], ["block", "counts"])
+        for i in range(cells // block):
+            part = held[i * block : (i + 1) * block]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
-    def add(frame):
-        import pandas as pd
-
-        total = np.zeros(block, np.int64)
-        for c in frame["counts"]:
-            total += np.frombuffer(c, np.uint8)
-        return pd.DataFrame({"block": frame["block"][:1], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total.setdefault(i, np.zeros(block, np.uint32))
+                total[i] += np.frombuffer(c.as_buffer(), np.uint16)
+        for i, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([level(n).astype(np.uint8).tobytes()], pa.binary())], ["block", "levels"])
 
-    parts = docs.select(text).mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary").toArrow()
+    parts = docs.select(text).mapInArrow(count, "block long, counts binary").repartition("block").mapInArrow(add, "block long, levels binary").toArrow()
     out = np.zeros(cells, np.uint8)
-    for i, c in zip(parts["block"].to_pylist(), parts["counts"].to_pylist(), strict=True):
+    for i, c in zip(parts["block"].to_pylist(), parts["levels"].to_pylist(), strict=True):
         out[i * block : (i + 1) * block] = np.frombuffer(c, np.uint8)
     return out
 
 
+def level(counts) -> np.ndarray:
+    return np.minimum(8 * np.log2(np.asarray(counts) + 1.0), 255)
+
+
 def _ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """A set in the global order."""
-    return s[np.argsort(sketch[s >> np.uint64(64 - len(sketch).bit_length() + 1)], kind="stable")]
+    return s[np.argsort(_cells(s, sketch), kind="stable")]
+
 
+def _cells(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return sketch[s >> np.uint64(64 - len(sketch).bit_length() + 1)]
 
-def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared) -> DataFrame:
+
+def _prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """docs: row, doc_id, text, print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, prefix = [], [], [], []
-            for _, s in K.distinct_sets(batch.column(1), k):
+            for _, s in K.distinct_sets(batch.column(2), k):
                 sig = _signature(s)
                 n.append(len(s))
                 a.append(sig[0])
                 b.append(sig[1])
                 prefix.append(_ranked(s, shared.value)[: prefix_length(len(s), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "a", "b", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["row", "doc_id", "print", "n", "a", "b", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, n long, a long, b long, prefix binary")
+    return docs.mapInArrow(run, "row string, doc_id long, print long, n long, a long, b long, prefix binary")
 
 
-def _stars(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class and the first one with the same prefix shingle and a size that could fit.
+def _keys(classes: DataFrame, percent: int, shared, hot: int) -> DataFrame:
+    """(rep, key, hot): the prefix shingles of the classes (rep, n, prefix).
 
     Sizes fall into steps of the threshold's ratio; sets that can link are in the same or in adjacent steps, so a
-    shingle is a key in its own step and in the next one. Rows come sorted by key and are streamed."""
+    shingle is a key in its own step and in the next one."""
+    from_level = int(level(hot))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, n = (np.array(batch.column(i), dtype=np.int64) for i in (0, 1))
-            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
-            sizes = [len(t) for t in tokens]
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            step = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
-            step = np.repeat(step, sizes)
-            both = np.concatenate([K.mix(flat ^ K.mix(step)), K.mix(flat ^ K.mix(step + np.uint64(1)))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(rep, sizes), 2)), pa.array(K.signed(both))], ["rep", "key"])
+            for at in range(0, len(rep), 1_024):
+                tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)[at : at + 1_024]]
+                sizes = [len(t) for t in tokens]
+                flat = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+                often = _cells(flat, shared.value) >= from_level
+                step = np.floor(np.log(np.maximum(n[at : at + 1_024], 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+                step = np.repeat(step, sizes)
+                both = np.concatenate([K.mix(flat ^ K.mix(step)), K.mix(flat ^ K.mix(step + np.uint64(1)))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(rep[at : at + 1_024], sizes), 2)), pa.array(K.signed(both)), pa.array(np.tile(often, 2))], ["rep", "key", "hot"])
+
+    return classes.select("rep", "n", "prefix").mapInArrow(run, "rep long, key long, hot boolean")
+
+
+def _stars(classes: DataFrame, percent: int, shared, hot: int) -> DataFrame:
+    """(center, rep): each class and the first ones that its prefix shingles lead to, other than itself. Most keys come sorted to a
+    task and are streamed; those that may be very common meet their first class by a join instead, which can split them."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None
@@ -140,15 +165,18 @@ def _stars(classes: DataFrame, percent: int) -> DataFrame:
                 firsts[0] = first
             to = np.repeat(firsts, np.diff([*head, len(key)]))
             last, first = key[-1], to[-1]
-            pairs = np.unique(np.stack([rep, to], 1)[rep != to], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], ["a", "b"])
+            pairs = np.unique(np.stack([to, rep], 1)[rep != to], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], ["center", "rep"])
 
-    rows = classes.select("rep", "n", "prefix").mapInArrow(keys, "rep long, key long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
-    return rows.mapInArrow(stars, "a long, b long").distinct()
+    rows = _keys(classes, percent, shared, hot)
+    cold = rows.where("not hot").select("rep", "key").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(stars, "center long, rep long")
+    common = rows.where("hot").select("rep", "key")
+    firsts = common.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "center")
+    joined = common.join(firsts, "key").where("center <> rep").select("center", "rep")
+    return cold.union(joined).distinct()
 
 
-def contract(edges: DataFrame) -> DataFrame:
+def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of (a, b) edges as (a, root) with the least member as root. Each round a
     node takes the least root among its neighbours (a grouped aggregate with partial sums, so a node
     with very many edges is no hot spot), then the root of that root, which halves the way left; it
@@ -168,23 +196,25 @@ def contract(edges: DataFrame) -> DataFrame:
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     kept.append((max(x, y), min(x, y)))
-            if len(root) > 1_000_000:  # forgetting costs a few needless edges only
+            if len(root) > 200_000:  # forgetting costs a few needless edges only
                 root.clear()
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    total = F.sum(F.col("root").cast("decimal(38,0)"))
     thin = edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long")
-    links = cut(thin.union(thin.select("b", "a")))
-    roots = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    roots, before = cut(roots), None
+    links = scratch.keep(thin.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*"))
+    roots = scratch.keep(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), total=total)
     while True:
-        now = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()
-        if now == before:
-            return roots
-        before = now
         hung = links.join(roots, "a").select(F.col("b").alias("a"), "root")
         step = hung.union(roots).groupBy("a").agg(F.min("root").alias("root"))
         up = roots.select(F.col("a").alias("_a"), F.col("root").alias("_up"))
-        roots = cut(step.join(up, step["root"] == up["_a"], "left").select("a", F.least("root", F.coalesce("_up", "root")).alias("root")))
+        now = scratch.keep(step.join(up, step["root"] == up["_a"], "left").select("a", F.least("root", F.coalesce("_up", "root")).alias("root")), total=total)
+        same = scratch.seen(now)["total"] == scratch.seen(roots)["total"]
+        scratch.drop(roots)
+        roots = now
+        if same:
+            scratch.drop(links)
+            return roots
 
 
 class _Trie:
@@ -267,102 +297,166 @@ def trie_links(left: list[np.ndarray], left_sizes: np.ndarray, right: list[np.nd
             stack.append((a, b, to, live, common))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(rep, set) of the classes in ``wanted``. A bit map of at most 2 MB, filled by hash, spares most
-    other documents the work; a join removes what it lets through by chance."""
-    n = wanted.count()
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, n: int) -> DataFrame:
+    """(rep, n, set) of the n classes in ``wanted`` (rep, n, a, b, print), from one text of each. A bit map of at most 2 MB, filled by the
+    texts' hashes, spares most other documents the work; the join removes what it lets through by chance."""
     bits = 1 << min(24, max(10, int(n * 16).bit_length()))
-    place = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    place = F.pmod("print", F.lit(bits))
     words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toArrow()
     bitmap = np.zeros(bits // 64 + 1, np.uint64)
     bitmap[np.array(words["w"], dtype=np.int64)] = np.array(words["m"], dtype=np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            p = np.array(batch.column(2), dtype=np.int64)
-            may = ((shared.value[p // 64] >> (p % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            if may.any():
-                some = batch.filter(pa.array(may))
-                sets = [s.tobytes() for _, s in K.distinct_sets(some.column(1), k)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
+            prints = np.array(batch.column(1), dtype=np.int64)
+            p = prints % bits
+            may = np.flatnonzero((shared.value[p // 64] >> (p % 64).astype(np.uint64)) & np.uint64(1))
+            new = []  # a text once a task is enough
+            for i in may.tolist():
+                if (x := int(prints[i])) not in given:
+                    given.add(x)
+                    new.append(i)
+            if len(given) > 100_000:
+                given.clear()
+            for at in range(0, len(new), 256):
+                some = batch.take(pa.array(new[at : at + 256]))
+                sets = [x for _, x in K.distinct_sets(some.column(0), k)]
+                signs = [_signature(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([some.column(1), *(pa.array([x[i] for x in signs], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], ["print", "a", "b", "set"])
+
+    found = docs.select("text", "print").mapInArrow(run, "print long, a long, b long, set binary")
+    return found.join(wanted, ["print", "a", "b"]).groupBy("rep", "n").agg(F.first("set").alias("set"))
+
+
+def _forest(pairs: list[tuple]) -> list[tuple]:
+    """Of links, those that unite something new."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("_text"))
-    return rows.select("rep", "_text", place).mapInArrow(run, "rep long, set binary")
+    kept = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            kept.append((a, b))
+    return kept
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Deals the members (rep, n, family) of each family out in blocks: (..., block, blocks)."""
-    total = members.groupBy("family").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
-    parts = F.greatest(F.ceil(F.col("_c") / (BLOCK_SETS * 3 // 4)), F.ceil(F.col("_n") / (BLOCK_SHINGLES * 3 // 4)))
-    total = total.select("family", F.when((F.col("_c") <= BLOCK_SETS) & (F.col("_n") <= BLOCK_SHINGLES), 1).otherwise(parts).cast("long").alias("blocks"))
-    return members.join(total, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def _lists(frame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in frame["set"]], frame["n"].to_numpy(np.int64), frame["rep"].to_numpy(np.int64)
+
+
+def _small(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links inside stars of one block. sets: bucket, center, rep, n, set."""
+
+    def run(frame):
+        import pandas as pd
+
+        pairs = []
+        for _, star in frame.sort_values(["center", "rep"]).groupby("center"):
+            lists, sizes, ids = _lists(star)
+            pairs += [(ids[a], ids[b]) for a, b in trie_links(lists, sizes, lists, sizes, percent, True)]
+        return pd.DataFrame(_forest(pairs), columns=["a", "b"], dtype="int64")
+
+    return sets.groupBy("bucket").applyInPandas(run, "a long, b long")
 
 
 def _compare(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of block pairs. sets: family, block, rep, n, set; tasks: family, i, j with i <= j."""
+    """(a, b) links of block pairs. sets: center, block, rep, n, set; tasks: center, i, j with i <= j."""
 
     def run(key, frame):
         import pandas as pd
 
         i, j = int(key[1]), int(key[2])
         frame = frame.sort_values("rep")
-        sides = [frame[frame["block"] == x] for x in ((i,) if i == j else (i, j))]
-        lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
-        sizes = [side["n"].to_numpy(np.int64) for side in sides]
-        ids = [side["rep"].to_numpy(np.int64) for side in sides]
-        pairs = list(trie_links(lists[0], sizes[0], lists[-1], sizes[-1], percent, i == j))
-        if i != j:  # one link is enough for what is united already
-            root: dict = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
+        sides = [_lists(frame[frame["block"] == x]) for x in ((i,) if i == j else (i, j))]
+        (left, left_sizes, left_ids), (right, right_sizes, right_ids) = sides[0], sides[-1]
+        found = trie_links(left, left_sizes, right, right_sizes, percent, i == j)
+        # one link is enough for what is united already
+        return pd.DataFrame(_forest([(left_ids[a], right_ids[b]) for a, b in found]), columns=["a", "b"], dtype="int64")
 
-            kept = []
-            for a, b in pairs:
-                x, y = find((0, a)), find((1, b))
-                if x != y:
-                    root[x] = y
-                    kept.append((a, b))
-            pairs = kept
-        return pd.DataFrame({"a": ids[0][[a for a, _ in pairs]] if pairs else [], "b": ids[-1][[b for _, b in pairs]] if pairs else []}, dtype="int64")
+    dealt = sets.join(tasks.select("center", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["center", "block"])
+    return dealt.groupBy("center", "i", "j").applyInPandas(run, "a long, b long")
 
-    dealt = sets.join(tasks.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["family", "block"])
-    return dealt.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+def _links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, root) of all classes that link. members: center, rep; sets: rep, n, set."""
+    stars = members.join(sets.select("rep", "n"), "rep").groupBy("center").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
+    parts = F.greatest(F.ceil(F.col("_c") / (BLOCK_SETS * 3 // 4)), F.ceil(F.col("_n") / (BLOCK_SHINGLES * 3 // 4)))
+    one = (F.col("_c") <= BLOCK_SETS) & (F.col("_n") <= BLOCK_SHINGLES)
+    stars = scratch.keep(stars.select("center", "_n", F.when(one, 1).otherwise(parts).cast("long").alias("blocks")), shingles=F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("_n"))), F.lit(0)), most=F.coalesce(F.max("blocks"), F.lit(0)))
+    seen = scratch.seen(stars)
+    buckets = buckets_for(seen["shingles"], BLOCK_SHINGLES)
+    few = stars.where("blocks = 1").select("center", F.pmod(F.xxhash64("center"), F.lit(buckets)).alias("bucket"))
+    links = scratch.keep(_small(members.join(few, "center").join(sets, "rep"), percent))
+    if seen["most"] <= 1:
+        return contract(links, scratch)
+    large = stars.where("blocks > 1")
+    blocks = scratch.keep(members.join(large.select("center", "blocks"), "center").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets, "rep"))
+    # each block with itself and with its star's first block
+    own = blocks.groupBy("center", "block").agg(F.count(F.lit(1)).alias("_c"))
+    near = own.select("center", F.col("block").alias("i"), F.col("block").alias("j")).union(own.where("block > 0").select("center", F.lit(0).cast("long"), "block"))
+    links = scratch.keep(links.union(_compare(blocks, near, percent)))
+    roots = contract(links, scratch)
+    # of blocks that lie in one component already, no two need comparing
+    state = blocks.select("rep", "center", "block").join(roots.withColumnRenamed("a", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    state = scratch.keep(state.groupBy("center", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("block > 0"))
+    x, y = (state.select([F.col(c).alias(f"{p}_{c}") for c in state.columns]) for p in ("x", "y"))
+    united = (F.col("x_lo") == F.col("y_hi")) & (F.col("x_hi") == F.col("y_lo")) & (F.col("x_lo") == F.col("x_hi"))
+    far = x.join(y, (F.col("x_center") == F.col("y_center")) & (F.col("x_block") < F.col("y_block")) & ~united)
+    far = scratch.keep(far.select(F.col("x_center").alias("center"), F.col("x_block").alias("i"), F.col("y_block").alias("j")), tasks=F.count(F.lit(1)))
+    if not scratch.seen(far)["tasks"]:
+        return roots
+    return contract(links.union(_compare(blocks, far, percent)), scratch)
+
+
+def ngram_rows(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, n_shingles, component, component_id) for every row: the string in ``row_col`` if there is one, the number of its component (null for
+    an empty set) and the least id in that."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    row = F.col(row_col) if row_col else F.lit(None).cast("string")
+    docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
+    cells = 1 << min(SKETCH_BITS, max(10, (16 * docs.count()).bit_length()))
+    sketch = spark.sparkContext.broadcast(shingle_sketch(docs, "text", k, cells))
+    every = scratch.keep(_prefixes(docs, k, percent, sketch))
+    classes = every.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.min("print").alias("print"), F.first("prefix").alias("prefix"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # a class whose prefix shingles are all its own is in no star
+    stars = scratch.keep(_stars(classes, percent, sketch, HOT))
+    sketch.destroy()  # the rows are written; workers would hold it until they end
+    members = scratch.keep(stars.union(stars.select("center", F.col("center").alias("rep")).distinct()))
+    wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "n", "a", "b", "print"), "rep"), n=F.count(F.lit(1)))
+    sets = scratch.keep(_sets_of(docs, wanted, k, scratch.seen(wanted)["n"]))
+    roots = _links(members, sets, percent, scratch)
+    scratch.drop(stars, members, wanted, sets)
+    named = classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("a", "b", F.col("n").alias("_n"), "least", F.coalesce("root", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.drop("least").join(least, "component")
+    out = every.join(named, (every["a"] == named["a"]) & (every["b"] == named["b"]) & (every["n"] == named["_n"]) & (every["n"] > 0), "left")
+    return out.select("row", "doc_id", every["n"].alias("n_shingles"), "component", F.when(every["n"] > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module text for method and edge cases."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    id_col, text_col = "_id", "_text"
-    cells = 1 << min(SKETCH_BITS, max(10, (256 * docs.count()).bit_length()))
-    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text_col, k, cells))
-    every = cut(_prefixes(docs, id_col, text_col, k, percent, sketch))
-    sketch.destroy()  # the rows are written; workers would hold it until they end
-    classes = every.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = cut(classes.select("rep", "n", "a", "b", "prefix"))
-    # a class whose prefix shingles are all its own has no links
-    stars = cut(_stars(classes, percent))
-    family = contract(stars).select(F.col("a").alias("rep"), F.col("root").alias("family"))
-    members = cut(_blocks(family.join(classes.select("rep", "n"), "rep")))
-    sets = cut(members.join(_sets_of(docs, members, id_col, text_col, k).groupBy("rep").agg(F.first("set").alias("set")), "rep"))
-    own = sets.groupBy("family", "block", "blocks").agg(F.count(F.lit(1)).alias("_c"))
-    # each block with itself and with its family's first block
-    near = own.select("family", F.col("block").alias("i"), F.col("block").alias("j")).union(own.where("block > 0").select("family", F.lit(0).cast("long"), "block"))
-    links = cut(_compare(sets, near, percent))
-    roots = contract(links)
-    large = sets.where("blocks > 2")
-    if not large.isEmpty():
-        # of blocks that lie in one component already, no two need comparing
-        state = large.select("rep", "family", "block").join(roots.withColumnRenamed("a", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        state = cut(state.groupBy("family", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("block > 0"))
-        x, y = (state.select([F.col(c).alias(f"{p}_{c}") for c in state.columns]) for p in ("x", "y"))
-        far = x.join(y, (F.col("x_family") == F.col("y_family")) & (F.col("x_block") < F.col("y_block")) & ~((F.col("x_lo") == F.col("y_hi")) & (F.col("x_hi") == F.col("y_lo")) & (F.col("x_lo") == F.col("x_hi"))))
-        far = far.select(F.col("x_family").alias("family"), F.col("x_block").alias("i"), F.col("y_block").alias("j"))
-        roots = contract(links.union(_compare(large, far, percent)))
-    named = classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("a", "b", F.col("n").alias("_n"), F.coalesce("root", "rep").alias("component_id"))
-    out = every.join(named, (every["a"] == named["a"]) & (every["b"] == named["b"]) & (every["n"] == named["_n"]) & (every["n"] > 0), "left")
-    return out.select(every["doc_id"], every["n"].alias("n_shingles"), F.when(every["doc_id"].isNotNull(), F.coalesce("component_id", every["doc_id"])).alias("component_id"))
+    return ngram_rows(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, without those that link to another one that stays: of each component the row of the least
+    id stays (null ids last; of repeated ids the first in the input). Rows without words link with nothing and stay. Rows are known by
+    their place, which scans of files, tables and checkpoints give alike each time, and by a hash of all that they hold."""
+    place = F.concat_ws(":", F.monotonically_increasing_id(), F.xxhash64(*docs.columns))
+    numbered = docs.withColumn("_row", place)
+    groups = ngram_rows(numbered, k, percent, id_col, text_col, "_row").where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    first = groups.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    gone = groups.join(first, "component").where("row <> first.row").select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
