@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut
 from textloom.llm.decontaminate import without_leaks
-from textloom.llm.jaccard_join import ngram_components
+from textloom.llm.jaccard_join import drop_near_copies
 from textloom.llm.mixing import mix
 from textloom.llm.quality import THRESHOLD, fit, scored
 from textloom.llm.sharding import shard_digest
@@ -29,14 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, the one of the least id stays; of rows with one id, one."""
-    docs = docs.select(*COLUMNS)
-    groups = ngram_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-        docs = once.unionByName(docs.where("doc_id is null"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents linked by five-word shingles at 0.8, the one of the least id stays, every row counting by itself."""
+    return drop_near_copies(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
