@@ -257,7 +257,7 @@ def test_banded_distance(spark):
 def test_line_dedup(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(33, 70))).strip() + "z" * 9 for _ in range(40)]
-    lines = base + [changed(rng, rng.choice(base), rng.randrange(4)) for _ in range(80)] + ["short", "shor", "", "  "] * 4
+    lines = base + [changed(rng, rng.choice(base), rng.randrange(4)) for _ in range(80)] + ["short", "shor", "", "  ", "\t"] * 4
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(5))) for i in range(60)] + [(100, None), (101, ""), (59, "short\nshort"), (None, base[0])]
     got = Counter(collected(line_dedup.line_digest(docs(spark, rows))))
     distinct = sorted({x for _, t in rows if t is not None for x in t.split("\n")})
@@ -270,7 +270,7 @@ def test_line_dedup(spark):
 
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
-            if len(x) >= 32 and len(y) >= 32 and edits(x, y) <= 2:
+            if len(x) >= 12 and len(y) >= 12 and edits(x, y) <= 2:
                 root[find(x)] = find(y)
     places = sorted(((-1 if d is None else d, p, r) for r, (d, t) in enumerate(rows) if t is not None for p in range(len(t.split("\n")))))
     first = {}
@@ -291,15 +291,36 @@ def test_line_dedup_of_short_lines(spark):
     rng = random.Random(12)
     base = ["".join(rng.choice("abcdefghijklm .,") for _ in range(n)).strip(" ") for n in range(8, 36) for _ in range(3)]
     lines = sorted({x for b in base for x in (b, changed(rng, b, 1), changed(rng, b, 2), changed(rng, b, 3))} | {"Are, is anwh reenen.", "Are. Is anwh reenen."})
-    near = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row long, doc_id long, text string")
-    name = {r[0]: r[1] for r in near.select(F.xxhash64("text", F.length("text")), "text").collect()}
-    got = {frozenset((name[a], name[b])) for a, b in collected(line_dedup.near_links(near))}
+    near = spark.createDataFrame([(x,) for x in lines], "text string")
+    name = {bytes(r[0]): r[1] for r in near.select(line_dedup.line_id(F.col("text")), "text").collect()}
+    got = {frozenset((name[bytes(a)], name[bytes(b)])) for a, b in collected(line_dedup.near_links(near))}
     want = {frozenset((x, y)) for i, x in enumerate(lines) for y in lines[:i] if min(len(x), len(y)) >= 12 and edits(x, y) <= 2}
     assert got == want and sum(len(min(p, key=len)) < 32 for p in want) > 50
     found = collected(line_dedup.line_digest(docs(spark, [(1, "Are, is anwh reenen."), (2, "Are. Is anwh reenen.\nx")])))
     assert sorted(found) == [(1, 1, 0, ""), (2, 2, 1, "0")]
 
 
+def test_line_dedup_of_a_large_family(spark):
+    """2,000 lines that differ in two words each, all of which share segments: few of them are near, and few pairs are looked at."""
+    rng = random.Random(13)
+    base = [f"word{rng.randrange(1_000)}" for _ in range(30)]
+    lines = set()
+    while len(lines) < 2_000:
+        own = list(base)
+        for at in rng.sample(range(30), 2):
+            own[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        lines.add(" ".join(own))
+    lines = sorted(lines)
+    lines += [x[:-1] + "#" for x in lines[:25]]
+    near = spark.createDataFrame([(x,) for x in lines], "text string")
+    name = {bytes(r[0]): r[1] for r in near.select(line_dedup.line_id(F.col("text")), "text").collect()}
+    got = {frozenset((name[bytes(a)], name[bytes(b)])) for a, b in collected(line_dedup.near_links(near))}
+    assert got == {frozenset((x, x[:-1] + "#")) for x in lines[:25]}
+    code = (0, 1, 3, 2)
+    want = [sum(code[x.lower().count(c) % 4] << (2 * i) for i, c in enumerate(line_dedup.SIGNS)) for x in lines]
+    assert Counter(r[0] % (1 << 64) for r in near.select(line_dedup.sign_counts(F.lower("text"))).collect()) == Counter(want)
+
+
 def test_dedup_lines_of_repeated_rows(spark):
     one = "the first line of a text that stands twice\n\nand another line of it that stands twice"
     rows = [(1, one), (1, one), (None, one), (None, "only here, in a row without an id"), (2, "only here, in the second document\n" + one), (3, None), (4, "")]

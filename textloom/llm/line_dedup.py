@@ -1,16 +1,20 @@
 """Line dedup with a segment-partition edit join, with built-in functions only.
 
 Lines (split at \\n) are one class if they are equal, or linked by an edit distance of at most ``threshold``
-between lines of at least ``least`` code points (shorter ones, and blank ones, are only compared whole, blank ones
+between lines of at least ``least`` code points (shorter ones are only compared whole; blank ones, of white space alone, are
 never dropped). Of each class the first line (least document id, then line number) stays, the others go.
 
 Two lines within t edits share one of t + 1 even segments of the shorter line, at a place that the number of
-edits to its left and right bounds. Each line is indexed by its segments, keyed by length, segment number and content, and
-probes with its substrings at those places for its own and the t next smaller lengths; no filter but this loses or
-adds a pair. Candidates are distinct pairs of different lines; they must share enough of 2t + 2 smaller segments, and
+edits to its left and right bounds. Equal lines are merged first. Each line is then indexed by its segments, keyed by length, segment
+number and content, and probes with its substrings at those places for its own and the t next smaller lengths. One shuffle
+brings index and probes together and is joined with itself. An entry also holds how often each of 32 signs occurs in its line, modulo 4 in a Gray code: an edit changes
+two of these counts by one at most, which flips one bit each, so the join itself drops pairs that differ in more than 2t bits and loses none. What is left are distinct pairs of
+different lines; they must share enough of 2t + 2 smaller segments, and
 what is left between their common start and end is verified by a bit-parallel edit distance on the
-band of 2t + 1 diagonals, one machine word however long the lines are. Equal lines were
-merged before (by 64-bit hash and length), so a line that very many documents share costs one entry.
+band of 2t + 1 diagonals, one machine word however long the lines are.
+
+Equal lines are known by their md5, 128 bits; in the index by another hash of 63 bits, behind which texts are verified. A line that very many documents share costs one entry, and its first place is
+an aggregate that is combined before the shuffle.
 
 Null texts have no lines; empty texts have one blank line. Null ids sort first. Repeated rows: the second
 copy's lines repeat the first's and go. Empty tables give no rows. Other columns are ignored.
@@ -21,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 #: From 12 code points on, each of the three segments of a line has three at least (of the next smaller lengths, too).
 THRESHOLD, LEAST = 2, 12
 #: Texts of candidates are fetched by a broadcast join up to so many lines (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 100_000
+#: The signs that are counted, capital letters as small ones.
+SIGNS = "abcdefghijklmnopqrstuvwxyz ,.-01"
 
 
 def let(value: Column, use) -> Column:
@@ -41,16 +47,25 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def keys(line: Column, length: Column, t: int) -> Column:
-    """array<struct<key, own>>: what a line is found by (own) and what it looks for."""
-    out = []
+    """What a line is found by, the first t + 1 entries, and what else it looks for; null where a segment doesn't fit."""
+    own, other = [], []
     for less in range(t + 1):
         for i in range(t + 1):
             place, size = segment(length - less, i, t + 1)
             for d in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                piece = F.substring(line, place + d, size)
                 fits = (place + d >= 1) & (place + d + size - 1 <= length)
-                out.append(F.when(fits, F.struct(F.xxhash64(piece, F.lit(i), length - less).alias("key"), F.lit(less == 0 and d == 0).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                key = F.when(fits, F.xxhash64(F.substring(line, place + d, size), F.lit(i), length - less))
+                (own if less == d == 0 else other).append(key)
+    return F.array(*own, *other)
+
+
+def sign_counts(line: Column) -> Column:
+    """64 bits: for each of SIGNS, how often it occurs modulo 4, as 0, 1, 3, 2. Counts that differ by one differ in one bit."""
+    bits = F.lit(0).cast("long")
+    for i, c in enumerate(SIGNS):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 4
+        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * i))
+    return bits
 
 
 def banded_distance(a: Column, b: Column, t: int) -> Column:
@@ -146,68 +161,91 @@ def segments_fit(a: Column, b: Column, t: int) -> Column:
     return let(F.struct(F.when(swap, b).otherwise(a).alias("s"), F.when(swap, a).otherwise(b).alias("l"), F.least(F.length(a), F.length(b)).alias("n")), count)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) of the ids in (a, b) links, the least id being the root: each round takes the least root around, then that one's root."""
-    links = cut(links.union(links.select("b", "a")))
-    roots = cut(links.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    before = None
-    while (now := roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()) != before:
-        before = now
+    total = F.sum(F.xxhash64("root").cast("decimal(38,0)"))
+    links = scratch.keep(links.union(links.select("b", "a")))
+    roots = scratch.keep(links.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")), total=total)
+    while True:
         near = links.join(roots, links["a"] == roots["id"]).select(F.col("b").alias("id"), "root")
         step = near.union(roots).groupBy("id").agg(F.min("root").alias("root"))
         up = roots.select(F.col("id").alias("_id"), F.col("root").alias("_up"))
-        roots = cut(step.join(up, step["root"] == up["_id"], "left").select("id", F.least("root", F.coalesce("_up", "root")).alias("root")))
-    return roots
+        now = scratch.keep(step.join(up, step["root"] == up["_id"], "left").select("id", F.least("root", F.coalesce("_up", "root")).alias("root")), total=total)
+        same = scratch.seen(now)["total"] == scratch.seen(roots)["total"]
+        scratch.drop(roots)
+        roots = now
+        if same:
+            scratch.drop(links)
+            return roots
+
 
+def line_id(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
-def _lines(docs: DataFrame) -> DataFrame:
-    line = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return line.withColumn("len", F.length("line")).withColumn("id", F.xxhash64("line", "len"))
+
+def is_blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """(a, b): hashes of different lines within the threshold. docs: row, doc_id, text."""
-    long = _lines(docs).where(F.col("len") >= max(least, threshold + 1))
-    rows = long.select("id", F.explode(keys(F.col("line"), F.col("len"), threshold)).alias("k")).select(F.col("k.key").alias("key"), F.col("k.own").alias("own"), "id")
-    rows = rows.repartition("key").groupBy("key", "id").agg(F.bool_or("own").alias("own"))
-    index = rows.where("own").select("key", F.col("id").alias("a"))
-    pairs = index.join(rows.select("key", F.col("id").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    n = ids.count()
-    wanted = long.select("id", "line").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-    texts = cut(wanted.groupBy("id").agg(F.first("line").alias("line")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where(segments_fit(F.col("x"), F.col("y"), threshold))
-    return cut(both.where(edit_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"))
+    """(a, b): ids of different lines within the threshold. docs: text."""
+    scratch = Scratch(docs.sparkSession)
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length("line") >= max(least, threshold + 1)) & ~is_blank(F.col("line")))
+    short = F.xxhash64("line").bitwiseAND(F.lit((1 << 63) - 1))
+    merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), sign_counts(F.lower("line")).alias("signs"))
+    rows = merged.select("e", "signs", F.posexplode(keys(F.col("line"), F.col("len"), threshold)).alias("place", "key")).where("key is not null")
+    # both sides of the join read one shuffle; the sign bit tells entries of the index from probes
+    indexed = F.when(F.col("place") <= threshold, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("key", F.col("e").bitwiseOR(indexed).alias("e"), "signs")
+    bare = lambda c: F.col(c).bitwiseAND(F.lit((1 << 63) - 1))
+    alike = F.bit_count(F.col("l.signs").bitwiseXOR(F.col("r.signs"))) <= 2 * threshold
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.e").bitwiseOR(F.col("r.e")) < 0) & alike & (bare("l.e") < bare("r.e"))
+    pairs = rows.alias("l").join(rows.alias("r"), met)
+    pairs = scratch.keep(pairs.select(bare("l.e").alias("a"), bare("r.e").alias("b")).distinct())
+    wanted = scratch.keep(pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct(), n=F.count(F.lit(1)))
+    small = scratch.seen(wanted)["n"] <= BROADCAST_IDS
+    named = lines.select(short.alias("e"), "line").join(F.broadcast(wanted) if small else wanted, "e", "left_semi").distinct()
+    texts = scratch.keep(named.select("e", "line", line_id(F.col("line")).alias("id")))
+    left, right = (texts.select(F.col("e").alias(e), F.col("id").alias(f"{e}_id"), F.col("line").alias(f"{e}_line")) for e in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").where(segments_fit(F.col("a_line"), F.col("b_line"), threshold))
+    links = scratch.keep(both.where(edit_distance(F.col("a_line"), F.col("b_line"), threshold) <= threshold).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    scratch.drop(pairs, wanted, texts)
+    return links
 
 
 def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, pos, keep) for every line of every document. Rows are numbered here unless ``row_col`` tells them apart."""
+    """(row, doc_id, lines, gone) for every document: how many lines it has, null for a null text, and the sorted numbers of those that
+    go. Rows are numbered here unless ``row_col`` tells them apart."""
+    scratch = Scratch(docs.sparkSession)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    every = cut(_lines(docs).select("row", "doc_id", "pos", "id", (F.trim("line") == "").alias("blank")))
-    roots = components(near_links(docs, threshold, least))
-    named = every.join(roots, "id", "left").select("row", "doc_id", "pos", "blank", F.coalesce("root", "id").alias("class"))
-    first = named.where("not blank").groupBy("class").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"))
-    out = named.join(first, "class", "left")
-    keep = F.col("blank") | ((F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos")))
-    return out.select("row", "doc_id", "pos", keep.alias("keep"))
+    ids = F.transform(F.split("text", "\n", -1), lambda x: F.when(~is_blank(x), line_id(x)))
+    every = scratch.keep(docs.select("row", "doc_id", ids.alias("ids")))
+    roots = components(near_links(docs, threshold, least), scratch)
+    places = every.select("row", "doc_id", F.posexplode("ids").alias("pos", "id")).where("id is not null")
+    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first")).join(roots, "id", "left")
+    first = first.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
+    stay = first.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.pos").alias("stay"))
+    filled = F.filter(F.transform("ids", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    gone = F.array_sort(F.array_except(filled, F.coalesce("stay", F.array().cast("array<int>"))))
+    lines = F.when(F.col("ids").isNotNull(), F.size("ids"))
+    return every.join(stay, "row", "left").select("row", "doc_id", lines.alias("lines"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped): the numbers of the lines that go, for every document."""
     decided = line_decisions(docs)
-    gone = F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("pos"))))
-    out = decided.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("keep")).alias("n_dropped"), F.array_join(gone, ",").alias("dropped"))
-    empty = docs.where("text is null").select("doc_id", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(""))
-    return out.select("doc_id", "n_lines", "n_dropped", "dropped").union(empty)
+    return decided.select("doc_id", F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.array_join("gone", ",").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(doc_id, text): the documents with the lines that go taken out, for use outside of reports. Null texts stay null."""
-    docs = cut(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    decided = line_decisions(docs, threshold, least, row_col="row")
-    gone = decided.where("not keep").groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))
-    return docs.join(gone, "row", "left").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    docs = Scratch(docs.sparkSession).keep(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    decided = line_decisions(docs, threshold, least, row_col="row").where(F.size("gone") > 0).select("row", "gone")
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    left = let(F.split("text", "\n", -1), rest)
+    return docs.join(decided, "row", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"))
