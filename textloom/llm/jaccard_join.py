@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, buckets_for
 
-#: The sketch of shingle frequencies has 2**24 cells at most, of two bytes in a task and one (a level) in the result; it only shapes the order.
+#: The sketch of shingle frequencies has 2**24 cells at most, of a byte each; it only shapes the order.
 SKETCH_BITS = 24
 #: Prefix shingles in cells of more than so many sightings are matched by joins, which split them, not by a task each.
 HOT = 20_000
 #: A block has so many sets and so many shingles at most (or one set).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 80_000
+#: The members of all stars (24 bytes each) go to the sets by a broadcast join up to so many, else by a shuffle.
+BROADCAST_MEMBERS = 200_000
 
 
 def _need(n: int, percent: int) -> int:
@@ -59,15 +61,15 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sketch(docs: DataFrame, text: str, k: int, cells: int) -> np.ndarray:
-    """Levels (8 times the binary logarithm) of how often shingles occur, by hash in ``cells`` (a power of two) cells."""
+    """Levels (8 times the binary logarithm) of how often shingles occur, by hash in ``cells`` (a power of two) cells. A task counts up to 255."""
     shift = np.uint64(64 - cells.bit_length() + 1)
     block = min(cells, 1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tally = np.zeros(cells, np.uint16), K.Tally(500_000)
+        held, tally = np.zeros(cells, np.uint8), K.Tally(500_000)
 
         def take(at: np.ndarray, n: np.ndarray) -> None:
-            held[at] = np.minimum(held[at] + n, 65_535).astype(np.uint16)
+            held[at] = np.minimum(held[at] + n, 255).astype(np.uint8)
 
         for batch in batches:
             for _, s in K.distinct_sets(batch.column(0), k):
@@ -85,7 +87,7 @@ def shingle_sketch(docs: DataFrame, text: str, k: int, cells: int) -> np.ndarray
         for batch in batches:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total.setdefault(i, np.zeros(block, np.uint32))
-                total[i] += np.frombuffer(c.as_buffer(), np.uint16)
+                total[i] += np.frombuffer(c.as_buffer(), np.uint8)
         for i, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([level(n).astype(np.uint8).tobytes()], pa.binary())], ["block", "levels"])
 
@@ -327,7 +329,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(1), *(pa.array([x[i] for x in signs], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], ["print", "a", "b", "set"])
 
     found = docs.select("text", "print").mapInArrow(run, "print long, a long, b long, set binary")
-    return found.join(wanted, ["print", "a", "b"]).groupBy("rep", "n").agg(F.first("set").alias("set"))
+    once = found.groupBy("print", "a", "b").agg(F.first("set").alias("set"))
+    return once.join(wanted, ["print", "a", "b"]).select("rep", "n", "set")
 
 
 def _forest(pairs: list[tuple]) -> list[tuple]:
@@ -387,19 +390,21 @@ def _compare(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, root) of all classes that link. members: center, rep; sets: rep, n, set."""
-    stars = members.join(sets.select("rep", "n"), "rep").groupBy("center").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
+    """(a, root) of all classes that link. members: center, rep, n; sets: rep, n, set."""
+    small = F.broadcast if scratch.seen(members)["n"] <= BROADCAST_MEMBERS else lambda x: x
+    stars = members.groupBy("center").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
     parts = F.greatest(F.ceil(F.col("_c") / (BLOCK_SETS * 3 // 4)), F.ceil(F.col("_n") / (BLOCK_SHINGLES * 3 // 4)))
     one = (F.col("_c") <= BLOCK_SETS) & (F.col("_n") <= BLOCK_SHINGLES)
     stars = scratch.keep(stars.select("center", "_n", F.when(one, 1).otherwise(parts).cast("long").alias("blocks")), shingles=F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("_n"))), F.lit(0)), most=F.coalesce(F.max("blocks"), F.lit(0)))
     seen = scratch.seen(stars)
     buckets = buckets_for(seen["shingles"], BLOCK_SHINGLES)
     few = stars.where("blocks = 1").select("center", F.pmod(F.xxhash64("center"), F.lit(buckets)).alias("bucket"))
-    links = scratch.keep(_small(members.join(few, "center").join(sets, "rep"), percent))
+    links = scratch.keep(_small(sets.join(small(members.select("center", "rep").join(few, "center")), "rep"), percent))
     if seen["most"] <= 1:
         return contract(links, scratch)
     large = stars.where("blocks > 1")
-    blocks = scratch.keep(members.join(large.select("center", "blocks"), "center").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets, "rep"))
+    dealt = members.select("center", "rep").join(large.select("center", "blocks"), "center").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    blocks = scratch.keep(sets.join(small(dealt), "rep"))
     # each block with itself and with its star's first block
     own = blocks.groupBy("center", "block").agg(F.count(F.lit(1)).alias("_c"))
     near = own.select("center", F.col("block").alias("i"), F.col("block").alias("j")).union(own.where("block > 0").select("center", F.lit(0).cast("long"), "block"))
@@ -424,7 +429,7 @@ def ngram_rows(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     scratch = Scratch(spark)
     row = F.col(row_col) if row_col else F.lit(None).cast("string")
     docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
-    cells = 1 << min(SKETCH_BITS, max(10, (16 * docs.count()).bit_length()))
+    cells = 1 << min(SKETCH_BITS, max(10, (256 * docs.count()).bit_length()))
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, "text", k, cells))
     every = scratch.keep(_prefixes(docs, k, percent, sketch))
     classes = every.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.min("print").alias("print"), F.first("prefix").alias("prefix"))
@@ -432,7 +437,8 @@ def ngram_rows(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     # a class whose prefix shingles are all its own is in no star
     stars = scratch.keep(_stars(classes, percent, sketch, HOT))
     sketch.destroy()  # the rows are written; workers would hold it until they end
-    members = scratch.keep(stars.union(stars.select("center", F.col("center").alias("rep")).distinct()))
+    members = stars.union(stars.select("center", F.col("center").alias("rep")).distinct())
+    members = scratch.keep(members.join(classes.select("rep", "n"), "rep"), n=F.count(F.lit(1)))
     wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "n", "a", "b", "print"), "rep"), n=F.count(F.lit(1)))
     sets = scratch.keep(_sets_of(docs, wanted, k, scratch.seen(wanted)["n"]))
     roots = _links(members, sets, percent, scratch)
