@@ -7,7 +7,7 @@ never dropped). Of each class the first line (least document id, then line numbe
 Two lines within t edits share one of t + 1 even segments of the shorter line, at a place that the number of
 edits to its left and right bounds. Equal lines are merged first. Each line is then indexed by its segments, keyed by length, segment
 number and content, and probes with its substrings at those places for its own and the t next smaller lengths. One shuffle
-brings index and probes together and is joined with itself. An entry also holds how often each of 32 signs occurs in its line, modulo 4 in a Gray code: an edit changes
+brings index and probes together and is joined with itself. An entry also holds how often each of 16 signs occurs in its line, modulo 4 in a Gray code: an edit changes
 two of these counts by one at most, which flips one bit each, so the join itself drops pairs that differ in more than 2t bits and loses none. What is left are distinct pairs of
 different lines; they must share enough of 2t + 2 smaller segments, and
 what is left between their common start and end is verified by a bit-parallel edit distance on the
@@ -31,8 +31,8 @@ from .common import Scratch
 THRESHOLD, LEAST = 2, 12
 #: Texts of candidates are fetched by a broadcast join up to so many lines (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 100_000
-#: The signs that are counted, capital letters as small ones.
-SIGNS = "abcdefghijklmnopqrstuvwxyz ,.-01"
+#: The signs that are counted.
+SIGNS = "abcdeghilmnoprst"
 
 
 def let(value: Column, use) -> Column:
@@ -41,26 +41,25 @@ def let(value: Column, use) -> Column:
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """(first position from 1, size) of segment i (from 0) of a line cut into even parts, longer ones last."""
-    base = F.floor(length / parts).cast("int")
-    longer = length - base * parts
-    return (base * i + F.greatest(F.lit(i - parts) + longer, F.lit(0)) + 1).cast("int"), base + F.when(longer >= parts - i, 1).otherwise(0)
+    base, longer = F.call_function("div", length, F.lit(parts)).cast("int"), F.pmod(length, F.lit(parts))
+    return base * i + F.greatest(longer + (i - parts), F.lit(0)) + 1, base + (longer >= parts - i).cast("int")
 
 
 def keys(line: Column, length: Column, t: int) -> Column:
-    """What a line is found by, the first t + 1 entries, and what else it looks for; null where a segment doesn't fit."""
+    """What a line is found by, the first t + 1 entries, and what else it looks for. A piece that would end
+    beyond the line is a shorter one, which may make a needless candidate."""
     own, other = [], []
     for less in range(t + 1):
         for i in range(t + 1):
             place, size = segment(length - less, i, t + 1)
             for d in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                fits = (place + d >= 1) & (place + d + size - 1 <= length)
-                key = F.when(fits, F.xxhash64(F.substring(line, place + d, size), F.lit(i), length - less))
+                key = F.xxhash64(F.substring(line, place + d, size), F.lit(i), length - less)
                 (own if less == d == 0 else other).append(key)
     return F.array(*own, *other)
 
 
 def sign_counts(line: Column) -> Column:
-    """64 bits: for each of SIGNS, how often it occurs modulo 4, as 0, 1, 3, 2. Counts that differ by one differ in one bit."""
+    """32 bits: for each of SIGNS, how often it occurs modulo 4, as 0, 1, 3, 2. Counts that differ by one differ in one bit."""
     bits = F.lit(0).cast("long")
     for i, c in enumerate(SIGNS):
         n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 4
@@ -192,8 +191,10 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     scratch = Scratch(docs.sparkSession)
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length("line") >= max(least, threshold + 1)) & ~is_blank(F.col("line")))
     short = F.xxhash64("line").bitwiseAND(F.lit((1 << 63) - 1))
-    merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), sign_counts(F.lower("line")).alias("signs"))
-    rows = merged.select("e", "signs", F.posexplode(keys(F.col("line"), F.col("len"), threshold)).alias("place", "key")).where("key is not null")
+    merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), sign_counts(F.col("line")).alias("signs"))
+    # the keys are a column of their own first, where what they share is computed once
+    merged = merged.select("e", "signs", keys(F.col("line"), F.col("len"), threshold).alias("keys"))
+    rows = merged.select("e", "signs", F.posexplode("keys").alias("place", "key"))
     # both sides of the join read one shuffle; the sign bit tells entries of the index from probes
     indexed = F.when(F.col("place") <= threshold, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))
     rows = rows.select("key", F.col("e").bitwiseOR(indexed).alias("e"), "signs")
