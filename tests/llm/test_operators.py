@@ -128,7 +128,7 @@ def test_differencing_is_tighter_than_greedy():
 
 def test_decontamination(spark):
     rng = random.Random(4)
-    items = [(i, words(rng, 30, 5_000)) for i in range(20)] + [(50, "too short item"), (51, None), (52, "")]
+    items = [(i, words(rng, 30, 5_000)) for i in range(20)] + [(50, "three word item"), (51, None), (52, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     item = items[3][1]
     edited = item.split()
@@ -136,9 +136,9 @@ def test_decontamination(spark):
     far = item.split()
     far[8] = far[16] = far[24] = "other"
     filler = words(rng, 300, 5_000)
-    rows = [(1, f"{filler} {item.upper()}. {filler}"), (2, filler), (3, " ".join(edited)), (4, " ".join(far)), (5, None), (6, ""), (7, "too short item"), (8, f"{item} {items[7][1]}"), (1, f"{item}")]
+    rows = [(1, f"{filler} {item.upper()}. {filler}"), (2, filler), (3, " ".join(edited)), (4, " ".join(far)), (5, None), (6, ""), (7, "two word item"), (9, "a three word item"), (8, f"{item} {items[7][1]}"), (1, f"{item}")]
     out = collected(decontaminate.leaks(docs(spark, rows), bench))
-    assert sorted((d, i) for d, i, *_ in out) == [(1, 3), (1, 3), (3, 3), (8, 3), (8, 7)]
+    assert sorted((d, i) for d, i, *_ in out) == [(1, 3), (1, 3), (3, 3), (8, 3), (8, 7), (9, 50)]
     assert {(d, i): (w, n, s) for d, i, w, n, _, s in out if d == 8} == {(8, 3): (0, 30, 1.0), (8, 7): (30, 30, 1.0)}
     kept = decontaminate.without_leaks(docs(spark, rows), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7] and kept.columns == DOCS.replace("n_chars long", "n_chars long").replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
@@ -146,6 +146,68 @@ def test_decontamination(spark):
     assert collected(decontaminate.leaks(docs(spark, rows), bench.where("false"))) == []
 
 
+def brute_leaks(rows, items, radius, threshold):
+    """Every window of every document against every item, in plain Python on kernel hashes."""
+    def shingles(t, k):
+        out = [np.zeros(0, np.uint64)]
+        for _, data, offsets in kernels.pieces(pa.array([t])):
+            w, bounds = kernels.word_hashes(data, offsets, letters_only=True)
+            out = [kernels.shingle_hashes(w, bounds, k)[0], len(w)]
+        return out if len(out) == 2 else (out[0], 0)
+
+    def print_(s):
+        votes = [sum(1 if int(x) >> b & 1 else -1 for x in s) for b in range(64)]
+        return sum(1 << b for b in range(64) if votes[b] > 0)
+
+    found = set()
+    for item, text in items:
+        n = shingles(text, 5)[1]
+        if not n:
+            continue
+        k = min(n, 5)
+        own = shingles(text, k)[0]
+        weight, mark = Counter(own.tolist()), print_(own)
+        for d, t in rows:
+            doc, _ = shingles(t, k)
+            m = min(len(own), len(doc))
+            for a in range(len(doc) - m + 1 if m else 0):
+                window = Counter(doc[a : a + m].tolist())
+                both = sum((weight & window).values())
+                if both / (len(own) + m - both) >= threshold and (print_(doc[a : a + m]) ^ mark).bit_count() <= radius:
+                    found.add((d, item))
+                    break
+    return found
+
+
+def test_decontamination_against_all_windows(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [(i, words(rng, rng.choice([3, 5, 6, 12, 20, 21]), 40)) for i in range(40)] + [(60, "x y x y x y x y x y")]
+    rows = [(900, None), (901, ""), (902, "x y x y x y x y"), (903, "y x y x y x y x y x y x")]
+    for d in range(60):
+        part = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            part[rng.randrange(len(part))] = rng.choice(["other", "w1", "w2"])
+        rows.append((d, f"{words(rng, rng.randrange(12), 40)} {' '.join(part)} {words(rng, rng.randrange(12), 40)}".strip()))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for radius, threshold in ((20, 0.8), (12, 0.5)):
+        got = collected(decontaminate.leaks(docs(spark, rows), bench, radius=radius, threshold=threshold))
+        assert len(got) == len({r[:2] for r in got}) and {r[:2] for r in got} == brute_leaks(rows, items, radius, threshold)
+        assert len(got) > 10
+    # the block tables are the only source of candidates
+    data = decontaminate.Items([i for i, _ in items], pa.array([t for _, t in items]), 20, 0.8)
+    assert list(data.search(pa.array([items[0][1]])))
+    monkeypatch.setattr(decontaminate.BlockIndex, "near", lambda self, values: np.zeros((len(values), self.tables.shape[2]), np.uint8))
+    assert not list(data.search(pa.array([items[0][1]])))
+
+
+def test_decontamination_of_a_long_text():
+    rng = random.Random(15)
+    item = words(rng, 30, 5_000)
+    data = decontaminate.Items([1], pa.array([item]), 20, 0.8)
+    found = list(data.search(pa.array([words(rng, 200_000, 5_000) + " " + item, None, ""])))
+    assert [(f[0], f[1], f[2], f[5]) for f in found] == [(0, 0, 200_000, 1.0)]
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -317,8 +379,8 @@ def test_line_dedup_of_a_large_family(spark):
     got = {frozenset((name[bytes(a)], name[bytes(b)])) for a, b in collected(line_dedup.near_links(near))}
     assert got == {frozenset((x, x[:-1] + "#")) for x in lines[:25]}
     code = (0, 1, 3, 2)
-    want = [sum(code[x.lower().count(c) % 4] << (2 * i) for i, c in enumerate(line_dedup.SIGNS)) for x in lines]
-    assert Counter(r[0] % (1 << 64) for r in near.select(line_dedup.sign_counts(F.lower("text"))).collect()) == Counter(want)
+    want = [sum(code[x.count(c) % 4] << (2 * i) for i, c in enumerate(line_dedup.SIGNS)) for x in lines]
+    assert Counter(r[0] % (1 << 64) for r in near.select(line_dedup.sign_counts(F.col("text"))).collect()) == Counter(want)
 
 
 def test_dedup_lines_of_repeated_rows(spark):

@@ -1,19 +1,21 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact check.
 
-Words are lower-cased runs of letters, digits and non-ASCII bytes; features are 5-word shingles.
-A window of a document as long as an item (shorter only if the document is) leaks the item if
+Words are lower-cased runs of letters, digits and non-ASCII bytes; features are 5-word shingles (an item of fewer words is one
+shingle as a whole, and is met by windows of as many words). A window of a document as long as an item (shorter only if the
+document is) leaks the item if
 
 * its 64-bit SimHash differs from the item's in at most ``radius`` bits, and
 * their weighted shingles (weight: number of occurrences) reach ``threshold``: sum of minima over sum of maxima.
 
-Fingerprints within the radius are all found: cut into 4 blocks of 16 bits, two of them differ by at most radius // 4 bits in
-some block, and a table of each block lists the items so near to each of its 65,536 values. Only windows that hold enough shingles
-of an item to reach the threshold at all are fingerprinted, which loses nothing. At a similarity of 0.8 the bits expected to
-differ are 10 of 64, so radius 20 lies 3.5 standard deviations off.
+Windows are fingerprinted for each size that items have, and look their candidates up in tables of four blocks of 16 bits: two fingerprints
+within the radius differ by at most radius // 4 bits in some block, and the table of a block lists the items so near to each
+of its 65,536 values. So all items within the radius are found; the shingles of a window only verify what the tables propose. Windows without a
+single benchmark shingle are left out, which loses nothing: their similarity to every item is 0. At a similarity of 0.8 the bits
+expected to differ are 10 of 64, so radius 20 lies 3.5 standard deviations off.
 
 The items' tables are shared with all tasks in batches of at most ``BATCH`` items and words; documents are read
-once for each batch and never shuffled. Items of fewer than 5 words are too short to tell and match nothing, as do null
-texts. Null ids and repeated rows or items stay as they are. Empty tables give no leaks.
+once for each batch and never shuffled. Null texts and texts without words match nothing. Null ids and repeated rows or items
+stay as they are. Of equally similar windows the one with fewer differing bits is reported, then the first. Empty tables give no leaks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,100 +66,113 @@ class BlockIndex:
         return out
 
 
+class Sized:
+    """The items of one size, at most GROUP of them."""
+
+    def __init__(self, words: int, members: list[int], shingles: list[np.ndarray], radius: int):
+        self.words, self.members, self.radius = words, members, radius
+        self.prints = np.array([to_bits(fingerprint_sums(shingles[i])[-1:])[0] for i in members], dtype=np.uint64)
+
+    def candidates(self, prints: np.ndarray, index: BlockIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place in members, bits that differ) of all items within the radius of a window's fingerprint."""
+        out = []
+        for at in range(0, len(prints), 4_096):
+            part = prints[at : at + 4_096]
+            window, item = np.nonzero(np.unpackbits(index.near(part), axis=1, count=len(self.prints), bitorder="little"))
+            bits = np.bitwise_count(part[window] ^ self.prints[item]).astype(np.int64)
+            near = bits <= self.radius
+            out.append((window[near] + at, item[near], bits[near]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
 class Items:
     """One batch of benchmark items, ready for the search."""
 
     def __init__(self, ids: list, texts: pa.Array, radius: int, threshold: float):
         self.radius, self.threshold = radius, threshold
-        self.ids, self.shingles, self.words = [], [], []
+        self.ids, self.shingles = [], []
+        by_size: dict[int, list[int]] = {}
         for first, data, offsets in K.pieces(texts):
             words, bounds = K.word_hashes(data, offsets, letters_only=True)
             hashes, ends = K.shingle_hashes(words, bounds, SHINGLE)
             for row in range(len(offsets) - 1):
-                n = int(bounds[row + 1] - bounds[row])
-                if n >= SHINGLE:
+                if n := int(bounds[row + 1] - bounds[row]):
+                    by_size.setdefault(n, []).append(len(self.ids))
                     self.ids.append(ids[first + row])
-                    self.words.append(n)
                     self.shingles.append(hashes[ends[row] : ends[row + 1]])
-        flat = np.concatenate([*self.shingles, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles])
-        self.prints = np.array([to_bits(fingerprint_sums(s)[-1:])[0] for s in self.shingles], dtype=np.uint64)
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        first = np.ones(len(flat), bool)
-        first[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])  # an item once for each of its shingles
-        flat, self.owner = flat[first], owner[first]
-        self.table, self.start = np.unique(flat, return_index=True)
-        self.stop = np.concatenate([self.start[1:], [len(flat)]])
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.table >> np.uint64(44)).astype(np.int64)] = True
-        self.groups: OrderedDict[int, BlockIndex] = OrderedDict()
-
-    def group(self, g: int) -> BlockIndex:
-        if g not in self.groups:
-            self.groups[g] = BlockIndex(self.prints[g * GROUP : (g + 1) * GROUP], self.radius)
-            if len(self.groups) > 6:
-                self.groups.popitem(last=False)
-        self.groups.move_to_end(g)
-        return self.groups[g]
+        self.weights = [np.unique(s, return_counts=True) for s in self.shingles]
+        self.groups = [Sized(n, own[a : a + GROUP], self.shingles, radius) for n, own in sorted(by_size.items()) for a in range(0, len(own), GROUP)]
+        # which shingles any item has, by the words that a shingle spans
+        self.tables = {}
+        for k in sorted({min(g.words, SHINGLE) for g in self.groups}):
+            table = np.unique(np.concatenate([self.shingles[i] for g in self.groups if min(g.words, SHINGLE) == k for i in g.members]))
+            seen = np.zeros(1 << 20, bool)
+            seen[(table >> np.uint64(44)).astype(np.int64)] = True
+            self.tables[k] = (table, seen)
+        self.indexes: OrderedDict[int, BlockIndex] = OrderedDict()
+
+    def index(self, g: int) -> BlockIndex:
+        """The block tables of a group; some tens of MB of them are kept."""
+        if g not in self.indexes:
+            self.indexes[g] = BlockIndex(self.groups[g].prints, self.radius)
+            while sum(x.tables.nbytes for x in self.indexes.values()) > 64 << 20 and len(self.indexes) > 1:
+                self.indexes.popitem(last=False)
+        self.indexes.move_to_end(g)
+        return self.indexes[g]
+
+    def known(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        """Places of shingles that some item has."""
+        table, seen = self.tables[k]
+        maybe = np.flatnonzero(seen[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(table, hashes[maybe]), len(table) - 1)
+        return maybe[table[at] == hashes[maybe]]
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """Yields (row, item, first word, words, bits that differ, similarity): the best window of each pair."""
         for first, data, offsets in K.pieces(texts):
             words, bounds = K.word_hashes(data, offsets, letters_only=True)
-            hashes, ends = K.shingle_hashes(words, bounds, SHINGLE)
-            maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
-            if not len(maybe) or not len(self.table):
-                continue
-            at = np.minimum(np.searchsorted(self.table, hashes[maybe]), len(self.table) - 1)
-            good = self.table[at] == hashes[maybe]
-            places, at = maybe[good], at[good]
-            if not len(places):
-                continue
-            n = self.stop[at] - self.start[at]
-            item = self.owner[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            places = np.repeat(places, n)
-            rows = np.searchsorted(ends, places, side="right") - 1
-            order = np.lexsort((places, item, rows))
-            rows, item, places = rows[order], item[order], places[order]
-            heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (item[1:] != item[:-1])]))
-            for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
-                row, i = int(rows[a]), int(item[a])
-                if b - a >= self.threshold * len(self.shingles[i]) and bounds[row + 1] - bounds[row] >= SHINGLE:
-                    found = self.best(hashes[ends[row] : ends[row + 1]], places[a:b] - ends[row], i)
-                    if found:
-                        start, bits, similarity = found
-                        yield first + row, i, start, min(self.words[i], int(bounds[row + 1] - bounds[row])), bits, similarity
-
-    def best(self, doc: np.ndarray, hits: np.ndarray, i: int) -> tuple[int, int, float] | None:
-        """doc: all shingles of a document; hits: where those of item i are."""
-        own = self.shingles[i]
-        m = min(len(own), len(doc))
-        # windows start at 0..len(doc)-m and must hold enough hits
+            for k in self.tables:
+                hashes, ends = K.shingle_hashes(words, bounds, k)
+                places = self.known(k, hashes)
+                rows = np.searchsorted(ends, places, side="right") - 1
+                cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1], [True]])) if len(rows) else []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    row = int(rows[a])
+                    for item, start, n, bits, similarity in self.leaks_of(k, hashes[ends[row] : ends[row + 1]], int(bounds[row + 1] - bounds[row]), places[a:b] - ends[row]):
+                        yield first + row, item, start, n, bits, similarity
+
+    def leaks_of(self, k: int, doc: np.ndarray, n_words: int, hits: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """doc: all shingles of a document; hits: the places of those that some item has."""
         marks = np.zeros(len(doc) + 1, np.int64)
         marks[hits + 1] = 1
         held = np.cumsum(marks)
-        starts = np.flatnonzero(held[m:] - held[: len(doc) - m + 1] >= self.threshold * len(own))
-        if not len(starts):
-            return None
-        lo, hi = int(starts[0]), int(starts[-1]) + m
-        votes = fingerprint_sums(doc[lo:hi])
-        prints = to_bits(votes[starts - lo + m] - votes[starts - lo])
-        g = i % GROUP
-        near = (self.group(i // GROUP).near(prints)[:, g >> 3] >> np.uint8(g & 7)) & 1
-        bits = np.bitwise_count(prints ^ self.prints[i]).astype(np.int64)
-        open_ = np.flatnonzero((near == 1) & (bits <= self.radius))
-        best = None
-        keys, weights = np.unique(own, return_counts=True)
-        for j in open_[np.argsort(bits[open_], kind="stable")].tolist():
-            window, n = np.unique(doc[starts[j] : starts[j] + m], return_counts=True)
-            both = np.minimum(weights[np.isin(keys, window)], n[np.isin(window, keys)]).sum()
-            similarity = float(both / (len(own) + m - both))
-            if similarity >= self.threshold and (best is None or similarity > best[2]):
-                best = (int(starts[j]), int(bits[j]), similarity)
-                if similarity == 1.0:
-                    break
-        return best
+        votes = None
+        for g, group in enumerate(self.groups):
+            if min(group.words, SHINGLE) != k:
+                continue
+            m = min(group.words - k + 1, len(doc))
+            starts = np.flatnonzero(held[m:] - held[: len(doc) - m + 1])
+            if votes is None:
+                votes = fingerprint_sums(doc)
+            prints = to_bits(votes[starts + m] - votes[starts])
+            window, place, bits = group.candidates(prints, self.index(g))
+            best: dict[int, tuple] = {}
+            for j in np.lexsort((starts[window], bits, place)).tolist():
+                item, start = group.members[place[j]], int(starts[window[j]])
+                similarity = self.similarity(item, doc[start : start + m])
+                if similarity >= self.threshold and (item not in best or similarity > best[item][3]):
+                    best[item] = (start, min(group.words, n_words), int(bits[j]), similarity)
+            for item, found in best.items():
+                yield (item, *found)
+
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        """Sum of minima over sum of maxima of the weights."""
+        keys, weights = self.weights[item]
+        at = np.searchsorted(keys, window)
+        at[at == len(keys)] = 0
+        inside = at[keys[at] == window]
+        both = np.minimum(np.bincount(inside, minlength=len(keys)), weights).sum()
+        return float(both / (weights.sum() + len(window) - both))
 
 
 def batches_of(bench: DataFrame, id_col: str, text_col: str, radius: int, threshold: float) -> Iterator[Items]:

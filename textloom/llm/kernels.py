@@ -83,7 +83,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     rolled = np.full(n, k, np.uint64)
     for i in range(k):
         part = np.zeros(n, np.uint64)
-        part[: n - i] = words[i:] if i else words
+        part[: max(n - i, 0)] = words[i:]
         rolled = mix(rolled + part)
     own = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     ends = np.cumsum(own)
