@@ -565,7 +565,7 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_jaccard_components(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 12)
-    monkeypatch.setattr(jaccard_join, "HOT", 8)
+    monkeypatch.setattr(jaccard_join, "HOT", 8 if k == 3 else 20_000)
     rng = random.Random(k)
     rows = []
     for i in range(30):
@@ -602,7 +602,26 @@ def test_jaccard_chain_of_chance_likenesses(spark):
     shared = spark.sparkContext.broadcast(np.zeros(1_024, np.uint8))
     data = docs(spark, rows).select(F.lit("").alias("row"), "doc_id", "text", F.xxhash64("text").alias("print"))
     first = jaccard_join._prefixes(data, 3, 90, shared).withColumnRenamed("doc_id", "rep")
-    assert max(r["count"] for r in jaccard_join._stars(first, 90, shared, 20_000).groupBy("center").count().collect()) <= 4
+    met = collected(jaccard_join._stars(first, 90, shared, 20_000))
+    # texts of 40 words share 18 shingles with a neighbour, few of them in both prefixes
+    assert {(7, 1_000), (300, 1_001)} <= set(met) and max(Counter(c for c, _ in met).values()) <= 4
+
+
+def test_meetings_in_any_batches():
+    """Pairs and stars of sorted keys do not depend on where batches end."""
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(12) ** 2, rng.randrange(40)) for _ in range(200)})
+    key, rep = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+    tag = np.array([8 + (r % 2) for r in rep.tolist()], np.int8)
+    whole = Counter(zip(*(x.tolist() for x in jaccard_join._meetings(rep, key, tag, 6)), strict=True))
+    want = Counter()
+    for k in set(key.tolist()):
+        own = [(r, t) for (x, r), t in zip(rows, tag.tolist(), strict=True) if x == k]
+        if len(own) <= 6:
+            want.update((a, b, 1, 4) for i, (a, s) in enumerate(own) for b, t in own[i + 1 :] if not s & t & 1)
+        else:
+            want.update((own[0][0], b, 4, 1) for b, _ in own[1:])
+    assert whole == want
 
 
 # ---------- 10

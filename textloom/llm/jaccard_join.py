@@ -6,9 +6,10 @@ A document's set holds its distinct k-word shingles. Two documents link when
 1. Documents with the same set are one class (a grouped aggregate, combined before the shuffle) with a number of its own.
 2. One global order ranks shingles: by their count in a sketch of bounded size, rarest first, then by
    hash. Any fixed order gives the same links; this one fills the prefixes with rare shingles.
-3. Linked sets share a shingle of their prefixes. All classes that hold a shingle there form a *star* around the
-   least of them; stars with the same centre are one. Two classes that share a prefix shingle are in one star, others need
-   never meet: nothing is closed transitively, so a long chain of chance likenesses stays a chain of small stars.
+3. Linked sets share ``SHARED`` shingles of their prefixes (as many as they must have in common at all, if that is less). Of a shingle
+   that few classes hold there, each pair is counted, and pairs that come together often enough meet. Of one that more classes hold, all
+   form a *star* around the least of them; stars with the same centre are one. Others need never meet: nothing
+   is closed transitively, so a long chain of chance likenesses stays a chain of small stars, and most of those are left out.
 4. A star is dealt out in blocks of bounded rows and shingles; small stars share a task. A task holds one block as a trie over
    the global order and walks it with another block's sets: what a path has in common with all probes
    is counted once, and a subtree ends where the shingles left can't reach the threshold any more.
@@ -38,6 +39,8 @@ from .common import Scratch, buckets_for
 SKETCH_BITS = 24
 #: Prefix shingles in cells of more than so many sightings are matched by joins, which split them, not by a task each.
 HOT = 20_000
+#: Prefix shingles that linked sets share at least, and how many classes may hold a shingle for their pairs to be counted.
+SHARED, FEW = 4, 6
 #: A block has so many sets and so many shingles at most (or one set).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 80_000
 #: The members of all stars (24 bytes each) go to the sets by a broadcast join up to so many, else by a shuffle.
@@ -50,7 +53,7 @@ def _need(n: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - _need(n, percent) + 1 if n else 0
+    return n - _need(n, percent) + min(SHARED, _need(n, percent))
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -129,7 +132,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
 
 
 def _keys(classes: DataFrame, percent: int, shared, hot: int) -> DataFrame:
-    """(rep, key, hot): the prefix shingles of the classes (rep, n, prefix).
+    """(rep, key, tag, hot): the prefix shingles of the classes (rep, n, prefix). tag: twice the number of them that a link needs, plus 1
+    in the second of the two keys of a shingle.
 
     Sizes fall into steps of the threshold's ratio; sets that can link are in the same or in adjacent steps, so a
     shingle is a key in its own step and in the next one."""
@@ -137,45 +141,83 @@ def _keys(classes: DataFrame, percent: int, shared, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, n = (np.array(batch.column(i), dtype=np.int64) for i in (0, 1))
-            for at in range(0, len(rep), 1_024):
+            for at in range(0, batch.num_rows, 1_024):
+                rep, n = (np.array(batch.column(i)[at : at + 1_024], dtype=np.int64) for i in (0, 1))
                 tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)[at : at + 1_024]]
                 sizes = [len(t) for t in tokens]
                 flat = np.concatenate([*tokens, np.zeros(0, np.uint64)])
                 often = _cells(flat, shared.value) >= from_level
-                step = np.floor(np.log(np.maximum(n[at : at + 1_024], 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+                step = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
                 step = np.repeat(step, sizes)
                 both = np.concatenate([K.mix(flat ^ K.mix(step)), K.mix(flat ^ K.mix(step + np.uint64(1)))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(rep[at : at + 1_024], sizes), 2)), pa.array(K.signed(both)), pa.array(np.tile(often, 2))], ["rep", "key", "hot"])
-
-    return classes.select("rep", "n", "prefix").mapInArrow(run, "rep long, key long, hot boolean")
+                least = np.repeat(2 * np.minimum(SHARED, -(-percent * n // 100)), sizes).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(rep, sizes), 2)), pa.array(K.signed(both)), pa.array(np.concatenate([least, least + 1]), pa.int8()), pa.array(np.tile(often, 2))], ["rep", "key", "tag", "hot"])
+
+    return classes.select("rep", "n", "prefix").mapInArrow(run, "rep long, key long, tag byte, hot boolean")
+
+
+def _meetings(rep: np.ndarray, key: np.ndarray, tag: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
+    """(center, rep, times, least) of whole runs of a key, sorted by key and rep: pairs in short runs, stars in long ones."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff([*head, len(key)])
+    out = []
+    for m in range(2, few + 1):
+        rows = head[size == m][:, None] + np.arange(m)
+        for i in range(m):
+            for j in range(i + 1, m):
+                x, y = rows[:, i], rows[:, j]
+                own = (tag[x] & 1 & tag[y]) == 0  # two of one step meet in the first of their two keys
+                out.append((rep[x][own], rep[y][own], np.ones(own.sum(), np.int64), np.minimum(tag[x], tag[y])[own] >> 1))
+    long = size > few
+    to, at = np.repeat(head[long], size[long]), np.flatnonzero(np.repeat(long, size))
+    out.append((rep[to], rep[at], np.full(len(at), SHARED), np.ones(len(at), np.int8)))
+    center, other, times, least = (np.concatenate(x) for x in zip(*out, strict=True))
+    keep = center != other
+    return center[keep], other[keep], times[keep], least[keep]
 
 
 def _stars(classes: DataFrame, percent: int, shared, hot: int) -> DataFrame:
-    """(center, rep): each class and the first ones that its prefix shingles lead to, other than itself. Most keys come sorted to a
-    task and are streamed; those that may be very common meet their first class by a join instead, which can split them."""
+    """(center, rep) of classes that must be compared, center < rep: pairs, and members of stars with the first class of a
+    key. Most keys come sorted to a task and are streamed; those that may be very common meet their first class by a join
+    instead, which can split them."""
+    few = FEW
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        names = ["center", "rep", "times", "least"]
+        held, star = None, None  # rows of a run that may go on; (key, center) of one that is a star already
+
+        def given(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _meetings(*rows, few)], names)
+
         for batch in batches:
-            rep, key = (np.array(batch.column(i), dtype=np.int64) for i in (0, 1))
-            if not len(key):
-                continue
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            firsts = rep[head]
-            if last == key[0]:
-                firsts[0] = first
-            to = np.repeat(firsts, np.diff([*head, len(key)]))
-            last, first = key[-1], to[-1]
-            pairs = np.unique(np.stack([to, rep], 1)[rep != to], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], ["center", "rep"])
+            rows = [np.array(batch.column(i)) for i in range(3)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if star and len(rows[1]):
+                same = int(np.searchsorted(rows[1], star[0], side="right"))
+                part, rows = rows[0][:same], [x[same:] for x in rows]
+                part = part[part != star[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), star[1])), pa.array(part), pa.array(np.full(len(part), SHARED)), pa.array(np.ones(len(part), np.int64))], names)
+                star = star if not len(rows[1]) else None
+            held = None
+            if len(rows[1]):
+                last = int(np.searchsorted(rows[1], rows[1][-1], side="left"))
+                if len(rows[1]) - last > few:
+                    star = (rows[1][last], rows[0][last])
+                    yield given(rows)
+                else:
+                    held = [x[last:] for x in rows]
+                    yield given([x[:last] for x in rows])
+        if held is not None:
+            yield given(held)
 
     rows = _keys(classes, percent, shared, hot)
-    cold = rows.where("not hot").select("rep", "key").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(stars, "center long, rep long")
+    cold = rows.where("not hot").select("rep", "key", "tag").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(stars, "center long, rep long, times long, least long")
     common = rows.where("hot").select("rep", "key")
     firsts = common.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "center")
-    joined = common.join(firsts, "key").where("center <> rep").select("center", "rep")
-    return cold.union(joined).distinct()
+    joined = common.join(firsts, "key").where("center <> rep").select("center", "rep", F.lit(SHARED).cast("long").alias("times"), F.lit(1).cast("long").alias("least"))
+    met = cold.union(joined).groupBy("center", "rep").agg(F.sum("times").alias("times"), F.min("least").alias("least"))
+    return met.where("times >= least").select("center", "rep")
 
 
 def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -429,7 +471,7 @@ def ngram_rows(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     scratch = Scratch(spark)
     row = F.col(row_col) if row_col else F.lit(None).cast("string")
     docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
-    cells = 1 << min(SKETCH_BITS, max(10, (256 * docs.count()).bit_length()))
+    cells = 1 << min(SKETCH_BITS, max(10, (64 * docs.count()).bit_length()))
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, "text", k, cells))
     every = scratch.keep(_prefixes(docs, k, percent, sketch))
     classes = every.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.min("print").alias("print"), F.first("prefix").alias("prefix"))

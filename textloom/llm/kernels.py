@@ -11,7 +11,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: About so many bytes of text are worked on at once (a longer text is one piece).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -19,7 +19,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         step = np.full(size, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
