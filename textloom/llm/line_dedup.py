@@ -192,9 +192,10 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length("line") >= max(least, threshold + 1)) & ~is_blank(F.col("line")))
     short = F.xxhash64("line").bitwiseAND(F.lit((1 << 63) - 1))
     merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), sign_counts(F.col("line")).alias("signs"))
-    # the keys are a column of their own first, where what they share is computed once
+    # the keys are a column of their own first, where what they share is computed once; an outer explode, though no array is
+    # empty, since for others the optimizer asks for their size before the lines are merged
     merged = merged.select("e", "signs", keys(F.col("line"), F.col("len"), threshold).alias("keys"))
-    rows = merged.select("e", "signs", F.posexplode("keys").alias("place", "key"))
+    rows = merged.select("e", "signs", F.posexplode_outer("keys").alias("place", "key"))
     # both sides of the join read one shuffle; the sign bit tells entries of the index from probes
     indexed = F.when(F.col("place") <= threshold, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))
     rows = rows.select("key", F.col("e").bitwiseOR(indexed).alias("e"), "signs")
