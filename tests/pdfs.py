@@ -1,111 +1,4 @@
-"""PDF files made for tests, in several container forms."""
+"""The maker of PDF files, under a short name."""
 
-from __future__ import annotations
-
-import hashlib
-import zlib
-
-from textloom.pdf import crypt as C
-
-HELVETICA = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
-LINK = b"<< /Type /Annot /Subtype /Link /Rect [0 0 10 10] /A << /S /URI /URI (https://acme.com/a?b=1) >> >>"
-
-
-def stream(data: bytes, extra: bytes = b"") -> bytes:
-    return b"<< /Length %d %s>>\nstream\n" % (len(data), extra) + data + b"\nendstream"
-
-
-def table(objects: dict[int, bytes], trailer: bytes = b"", head: bytes = b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n") -> bytes:
-    out, at = bytearray(head), {}
-    for n, body in objects.items():
-        at[n] = len(out)
-        out += b"%d 0 obj\n" % n + body + b"\nendobj\n"
-    x, size = len(out), max(objects) + 1
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % size
-    for n in range(1, size):
-        out += b"%010d 00000 %s \n" % (at.get(n, 0), b"n" if n in at else b"f")
-    return bytes(out) + b"trailer\n<< /Size %d /Root 1 0 R %s>>\nstartxref\n%d\n%%%%EOF\n" % (size, trailer, x)
-
-
-def one_page(content: bytes, fonts: bytes = b"/F1 5 0 R", extra: tuple = (HELVETICA,), annots: bytes = b"") -> bytes:
-    objects = {
-        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
-        3: b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 300 200] /Contents 4 0 R /Resources << /Font << %s >> >> %s >>" % (fonts, annots), 4: stream(content),
-    }
-    return table(objects | dict(enumerate(extra, 5)))
-
-
-def two_pages(compressed: bool = True) -> dict[int, bytes]:
-    def body(text: bytes) -> bytes:
-        data = b"BT /F1 12 Tf 20 150 Td (" + text + b") Tj ET\n" + b"0 0 m 10 10 l S\n" * 30
-        return stream(zlib.compress(data, 1), b"/Filter /FlateDecode ") if compressed else stream(data)
-
-    page = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 7 0 R >> >> %s>>"
-    return {
-        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 5 0 R] /Count 2 >>", 3: page % (4, b""), 4: body(b"Confidential report for Acme Corp."),
-        5: page % (6, b"/Annots [8 0 R] "), 6: body(b"Page two also mentions Acme Corp. here."), 7: HELVETICA, 8: b"<< /Subtype /Link /A << /S /URI /URI (mailto:jane@acme.com) >> >>",
-    }
-
-
-def with_object_streams() -> bytes:
-    objects = two_pages()
-    inside = [n for n, b in objects.items() if b"stream" not in b]
-    head, body = [], b""
-    for n in inside:
-        head.append(b"%d %d" % (n, len(body)))
-        body += objects[n] + b"\n"
-    first = b" ".join(head) + b"\n"
-    packed = zlib.compress(first + body)
-    top = {n: b for n, b in objects.items() if n not in inside} | {9: stream(packed, b"/Type /ObjStm /N %d /First %d /Filter /FlateDecode " % (len(inside), len(first)))}
-    out, rows = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), {0: (0, 0, 255)}
-    for n, b in top.items():
-        rows[n] = (1, len(out), 0)
-        out += b"%d 0 obj\n" % n + b + b"\nendobj\n"
-    rows |= {n: (2, 9, i) for i, n in enumerate(inside)}
-    rows[10] = (1, len(out), 0)
-    data = zlib.compress(b"".join(bytes([k]) + a.to_bytes(3, "big") + bytes([b]) for k, a, b in (rows[n] for n in range(11))))
-    x = len(out)
-    out += b"10 0 obj\n" + stream(data, b"/Type /XRef /Size 11 /Root 1 0 R /W [1 3 1] /Filter /FlateDecode ") + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % x
-    return bytes(out)
-
-
-class _Key(C.Crypt):
-    """A handler made from its key, to write encrypted fixtures with."""
-
-    def __init__(self, key: bytes, method: str):
-        self.key, self.strings, self.streams, self.metadata = key, method, method, True
-
-
-def encrypted(method: str, password: bytes = b"") -> bytes:
-    first_id = b"0123456789abcdef"
-    if method == "aes256":
-        key, salts = bytes(range(32)), (b"userVALI", b"userKEYS", b"ownrVALI", b"ownrKEYS")
-        u = C.hardened(6, password, salts[0]) + salts[0] + salts[1]
-        o = C.hardened(6, b"owner", salts[2], u) + salts[2] + salts[3]
-        ue = C.Aes(C.hardened(6, password, salts[1])).cbc(bytes(16), key, True)
-        oe = C.Aes(C.hardened(6, b"owner", salts[3], u)).cbc(bytes(16), key, True)
-        d = b"/V 5 /R 6 /Length 256 /P -4 /O <%s> /U <%s> /OE <%s> /UE <%s> /Perms <%s>" % tuple(x.hex().encode() for x in (o, u, oe, ue, bytes(16)))
-        d += b" /CF << /StdCF << /CFM /AESV3 /Length 32 >> >> /StmF /StdCF /StrF /StdCF"
-    else:
-        v, r = (2, 3) if method == "rc4" else (4, 4)
-        o = bytes(range(32))
-        maker = _Key(b"", method)
-        maker.revision = r
-        key = maker._user_key(password, o, (0xFFFFFFFC).to_bytes(4, "little"), first_id, 16)
-        u = hashlib.md5(C.PAD + first_id).digest()
-        for i in range(20):
-            u = C.rc4(bytes(k ^ i for k in key), u)
-        d = b"/V %d /R %d /Length 128 /P -4 /O <%s> /U <%s>" % (v, r, o.hex().encode(), (u + bytes(16)).hex().encode())
-        if method == "aes128":
-            d += b" /CF << /StdCF << /CFM /AESV2 /Length 16 >> >> /StmF /StdCF /StrF /StdCF"
-    handler, objects = _Key(key, method), {}
-    for n, b in two_pages().items():
-        if b"stream\n" in b:
-            head, _, rest = b.partition(b"stream\n")
-            data = handler.apply(method, n, 0, rest[: -len(b"\nendstream")], True)
-            b = stream(data, b"/Filter /FlateDecode ")
-        elif n == 8:
-            b = b.replace(b"(mailto:jane@acme.com)", b"<%s>" % handler.apply(method, n, 0, b"mailto:jane@acme.com", True).hex().encode())
-        objects[n] = b
-    objects[9] = b"<< /Filter /Standard %s >>" % d
-    return table(objects, b"/Encrypt 9 0 R /ID [<%s> <%s>] " % (first_id.hex().encode(), first_id.hex().encode()))
+from textloom.pdf.make import *  # noqa: F403
+from textloom.pdf.make import Paper, Ref, value  # noqa: F401

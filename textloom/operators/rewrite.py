@@ -105,10 +105,6 @@ def extract_links(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(found).alias("ord", "uri"))
 
 
-class SkippedError(RuntimeError):
-    """A strict run found matches that it could not replace."""
-
-
 @dataclass(frozen=True)
 class Outcome:
     """What a run returns: the rewritten rows, the totals by rule, and an exit status (0 fine, 2 strict and skipped)."""
@@ -128,4 +124,4 @@ def run(df: DataFrame, rules, text_col: str = "text", page_col: str | None = Non
     return Outcome(rows, stats, 2 if bad else 0)
 
 
-__all__ = ["Outcome", "RuleSpec", "SkippedError", "apply_rule", "compiled", "extract_links", "find", "on_pages", "rewrite", "rewrite_links", "rule_stats", "run"]
+__all__ = ["Outcome", "RuleSpec", "apply_rule", "compiled", "extract_links", "find", "on_pages", "rewrite", "rewrite_links", "rule_stats", "run"]

@@ -31,17 +31,18 @@ def next_kept(df: DataFrame, unit: list[str], order: list[Column], value: Column
 def walk(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     """(node, root, hops): everything reachable over (parent, child) edges, each node once, by its shortest way.
 
-    One join a level and an anti-join against what was seen, until a level is empty or ``depth`` is reached. Levels are
+    One join a level and an anti-join against what was seen, until a level is empty; RuntimeError if that takes more than ``depth``. Levels are
     kept (in memory, else on disk), so that none is computed twice; a lost one is computed again."""
     seen = roots.select(F.col("root").alias("node"), "root", F.lit(0).alias("hops")).dropDuplicates(["node"]).persist()
     level = seen
-    for hops in range(1, depth + 1):
+    for hops in range(1, depth + 2):
         new = level.join(edges, level["node"] == edges["parent"]).groupBy(F.col("child").alias("node")).agg(F.min("root").alias("root"))
         new = new.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)).persist()
         if new.isEmpty():
-            break
+            new.unpersist()
+            return seen
         seen, level = seen.unionByName(new), new
-    return seen
+    raise RuntimeError(f"the walk goes on beyond {depth} levels")
 
 
 def islands(df: DataFrame, unit: list[str], value: str, bridge: int = 1) -> DataFrame:

@@ -49,8 +49,28 @@ def inflate_strict(data: bytes) -> bytes | None:
     return out if d.eof and len(d.unused_data) <= 1 else None
 
 
-def deflate(data: bytes, level: int = 9) -> bytes:
-    return zlib.compress(data, level)
+#: Compression by name: zlib levels, or several ways of which the smallest result counts. Beyond 8 MiB "max" is "best".
+LEVELS = {"fast": 6, "best": 9}
+MOST = 8 << 20
+
+
+def deflate(data: bytes, how: str = "best") -> bytes:
+    if how != "max" or len(data) > MOST:
+        return zlib.compress(data, LEVELS.get(how, 9))
+    ways = ((memory, strategy) for memory in (8, 9) for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED))
+
+    def packed(memory: int, strategy: int) -> bytes:
+        c = zlib.compressobj(9, zlib.DEFLATED, zlib.MAX_WBITS, memory, strategy)
+        return c.compress(data) + c.flush()
+
+    return min((packed(*w) for w in ways), key=len)
+
+
+def up_rows(data: bytes, width: int) -> bytes:
+    """Rows of ``width`` bytes as differences to the row above, each behind the tag of that predictor."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, width)
+    steps = np.diff(rows, axis=0, prepend=np.zeros((1, width), np.uint8))
+    return np.insert(steps, 0, 2, axis=1).tobytes()
 
 
 def unpredict(data: bytes, parms: Dict | None) -> bytes:
@@ -116,22 +136,29 @@ def unlzw(data: bytes, early: bool = True) -> bytes:
     return bytes(out)
 
 
+_NOT_85 = bytes(c for c in range(256) if not 33 <= c <= 117 and c != ord("z"))
+
+
 def unascii85(data: bytes) -> bytes:
-    data = data.removeprefix(b"<~").split(b"~")[0]
-    out, group = bytearray(), []
-    for c in data:
-        if c == ord("z") and not group:
-            out += bytes(4)
-        elif 33 <= c <= 117:
-            group.append(c - 33)
-            if len(group) == 5:
-                out += (sum(v * 85 ** (4 - i) for i, v in enumerate(group)) & 0xFFFFFFFF).to_bytes(4, "big")
-                group = []
-    if len(group) > 1:
-        n = len(group) - 1
-        full = group + [84] * (5 - len(group))
-        out += (sum(v * 85 ** (4 - i) for i, v in enumerate(full)) & 0xFFFFFFFF).to_bytes(4, "big")[:n]
-    return bytes(out)
+    """Signs of other kinds don't count; groups are worked out all at once."""
+    body = data.removeprefix(b"<~").split(b"~")[0].translate(None, _NOT_85)
+    # a z between groups stands for a group of zeros; inside a group it doesn't count
+    if b"z" in body:
+        kept, place = bytearray(), 0
+        for run in re.findall(rb"z|[^z]+", body):
+            if run != b"z":
+                kept += run
+                place = (place + len(run)) % 5
+            elif not place:
+                kept += b"!!!!!"
+        body = bytes(kept)
+    extra = -len(body) % 5
+    if extra == 4:  # a single sign says nothing
+        body, extra = body[:-1], 0
+    groups = np.frombuffer(body + b"u" * extra, np.uint8).reshape(-1, 5).astype(np.uint64) - np.uint64(33)
+    values = groups @ np.array([85**4, 85**3, 85**2, 85, 1], np.uint64) & np.uint64(0xFFFFFFFF)
+    out = values.astype(">u4").tobytes()
+    return out[: len(out) - extra]
 
 
 def unasciihex(data: bytes) -> bytes:

@@ -35,7 +35,7 @@ class Entry:
 class Document:
     """One PDF file in memory."""
 
-    level = 9  # of compression, for streams that change
+    compression = "best"  # of streams that change
 
     def __init__(self, data: bytes, password: str | None = None):
         if b"%PDF-" not in data[:1024]:
@@ -368,7 +368,7 @@ class Document:
             raw = s.new
             if b"Filter" in d:
                 d.set(b"Filter", Name(b"FlateDecode"))
-                raw = codecs.deflate(raw, self.level)
+                raw = codecs.deflate(raw, self.compression)
             d.drop(b"DecodeParms")
             if self.crypt:
                 raw = self.crypt.apply(self.crypt.stream_method(d), num, e.gen, raw, True)
@@ -468,8 +468,12 @@ class Document:
             for n in range(first, first + count):
                 kind, a, b = rows.get(n, (0, 0, 65_535))
                 body += bytes([kind]) + a.to_bytes(wide, "big") + min(b, 65_535).to_bytes(2, "big")
-        raw = codecs.deflate(bytes(body))
+        # rows as differences to the row above, unless plain ones are smaller
+        plain, steps = codecs.deflate(bytes(body)), codecs.deflate(codecs.up_rows(bytes(body), wide + 3))
+        parms = Dict([(Name(b"Predictor"), 12), (Name(b"Columns"), wide + 3)])
+        predicted = len(steps) + len(write(parms)) + len(b"/DecodeParms") < len(plain)
+        raw = steps if predicted else plain
         d = Dict([(Name(b"Type"), Name(b"XRef")), *trailer.items])
-        for key, value in ((b"Size", own + 1), (b"W", [1, wide, 2]), (b"Index", [x for run in runs for x in run]), (b"Filter", Name(b"FlateDecode")), (b"Length", len(raw))):
+        for key, value in ((b"Size", own + 1), (b"W", [1, wide, 2]), (b"Index", [x for run in runs for x in run]), (b"Filter", Name(b"FlateDecode")), *([(b"DecodeParms", parms)] if predicted else []), (b"Length", len(raw))):
             d.set(key, value)
         return b"%d 0 obj\n" % own + write(d) + b"\nstream\n" + raw + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
+import numpy as np
+
 from .syntax import Dict, Name, PdfError, Text, integer
 
 #: The padding of passwords (fixed value of the public format).
@@ -49,6 +52,16 @@ def _box() -> list[int]:
     return box
 
 
+def _aes_tables() -> tuple:
+    """The substitution box; four tables of substituted, mixed columns; the box turned round; products for the way back."""
+    box = _box()
+    back = np.zeros(256, np.uint8)
+    back[box] = np.arange(256)
+    column = [_times(v, 2) << 24 | v << 16 | v << 8 | _times(v, 3) for v in box]
+    mixed = [[(w >> 8 * i | w << 32 - 8 * i) & 0xFFFFFFFF for w in column] for i in range(4)]
+    return box, mixed, back, {m: np.array([_times(x, m) for x in range(256)], np.uint8) for m in (9, 11, 13, 14)}
+
+
 class Aes:
     """AES with keys of 16 or 32 bytes, block by block and in CBC mode."""
 
@@ -58,12 +71,8 @@ class Aes:
         if len(key) not in (16, 32):
             raise PdfError("an AES key of this size is not supported")
         if Aes._tables is None:
-            box = _box()
-            back = [0] * 256
-            for i, v in enumerate(box):
-                back[v] = i
-            Aes._tables = (box, back, {m: [_times(x, m) for x in range(256)] for m in (2, 3, 9, 11, 13, 14)})
-        self.box, self.back, self.by = Aes._tables
+            Aes._tables = _aes_tables()
+        self.box, self.mixed = Aes._tables[:2]
         n = len(key) // 4
         words, rcon = [list(key[4 * i : 4 * i + 4]) for i in range(n)], 1
         while len(words) < 4 * (n + 7):
@@ -75,39 +84,48 @@ class Aes:
             elif n > 6 and len(words) % n == 4:
                 w = [self.box[x] for x in w]
             words.append([a ^ b for a, b in zip(w, words[-n], strict=True)])
-        self.keys = [sum(words[4 * r : 4 * r + 4], []) for r in range(n + 7)]
+        self.words = [int.from_bytes(bytes(w), "big") for w in words]
+        self.keys = np.array(words, np.uint8).reshape(-1, 16)
 
     def encrypt_block(self, block: bytes) -> bytes:
-        two, three = self.by[2], self.by[3]
-        s = [a ^ b for a, b in zip(block, self.keys[0], strict=True)]
-        for r in range(1, len(self.keys)):
-            s = [self.box[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
-            if r < len(self.keys) - 1:
-                s = [two[s[c + i]] ^ three[s[c + (i + 1) % 4]] ^ s[c + (i + 2) % 4] ^ s[c + (i + 3) % 4] for c in (0, 4, 8, 12) for i in range(4)]
-            s = [a ^ b for a, b in zip(s, self.keys[r], strict=True)]
-        return bytes(s)
-
-    def decrypt_block(self, block: bytes) -> bytes:
-        e, b, d, n = (self.by[m] for m in (14, 11, 13, 9))
-        s = [x ^ y for x, y in zip(block, self.keys[-1], strict=True)]
+        """On four words; a table holds what a byte becomes and adds to its column in a whole round."""
+        t0, t1, t2, t3 = self.mixed
+        k, box, last = self.words, self.box, len(self.words) - 4
+        a, b, c, d = (int.from_bytes(block[i : i + 4], "big") ^ k[i // 4] for i in (0, 4, 8, 12))
+        for r in range(4, last, 4):
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ k[r], t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ k[r + 1],
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ k[r + 2], t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ k[r + 3],
+            )
+        turned = ((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))
+        out = ((box[w >> 24] << 24 | box[x >> 16 & 255] << 16 | box[y >> 8 & 255] << 8 | box[z & 255]) ^ k[last + i] for i, (w, x, y, z) in enumerate(turned))
+        return b"".join(w.to_bytes(4, "big") for w in out)
+
+    def decrypt_blocks(self, data: bytes) -> np.ndarray:
+        """All blocks at once, a row each."""
+        _, _, back, by = Aes._tables
+        order = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
+        s = np.frombuffer(data, np.uint8).reshape(-1, 16) ^ self.keys[-1]
         for r in range(len(self.keys) - 2, -1, -1):
-            s = [self.back[s[(i - 4 * (i % 4)) % 16]] for i in range(16)]
-            s = [x ^ y for x, y in zip(s, self.keys[r], strict=True)]
+            s = back[s[:, order]] ^ self.keys[r]
             if r:
-                s = [e[s[c + i]] ^ b[s[c + (i + 1) % 4]] ^ d[s[c + (i + 2) % 4]] ^ n[s[c + (i + 3) % 4]] for c in (0, 4, 8, 12) for i in range(4)]
-        return bytes(s)
+                columns = s.reshape(-1, 4, 4)
+                s = np.bitwise_xor.reduce([by[m][np.roll(columns, -i, axis=2)] for i, m in enumerate((14, 11, 13, 9))]).reshape(-1, 16)
+        return s
+
+    def decrypt_block(self, block: bytes) -> bytes:
+        return self.decrypt_blocks(block).tobytes()
 
     def cbc(self, iv: bytes, data: bytes, encrypt: bool) -> bytes:
-        out = bytearray()
-        for at in range(0, len(data) - len(data) % 16, 16):
-            block = data[at : at + 16]
-            if encrypt:
-                iv = self.encrypt_block(bytes(a ^ b for a, b in zip(block, iv, strict=True)))
-                out += iv
-            else:
-                out += bytes(a ^ b for a, b in zip(self.decrypt_block(block), iv, strict=True))
-                iv = block
-        return bytes(out)
+        data = data[: len(data) // 16 * 16]
+        if not encrypt:
+            before = np.frombuffer(iv + data, np.uint8)[: len(data)].reshape(-1, 16)
+            return (self.decrypt_blocks(data) ^ before).tobytes()
+        out, last = [], int.from_bytes(iv, "big")
+        for at in range(0, len(data), 16):
+            out.append(self.encrypt_block((int.from_bytes(data[at : at + 16], "big") ^ last).to_bytes(16, "big")))
+            last = int.from_bytes(out[-1], "big")
+        return b"".join(out)
 
 
 def aes_decrypt(key: bytes, data: bytes) -> bytes:
@@ -126,6 +144,7 @@ def aes_encrypt(key: bytes, data: bytes, salt: bytes) -> bytes:
     return iv + Aes(key).cbc(iv, data + bytes([n]) * n, True)
 
 
+@functools.lru_cache(maxsize=64)
 def hardened(revision: int, password: bytes, salt: bytes, user: bytes = b"") -> bytes:
     k = hashlib.sha256(password + salt + user).digest()
     if revision < 6:

@@ -94,8 +94,15 @@ def base_text(encoding: str, code: int) -> str | None:
         return "•"
 
 
+#: Signs that the fallback encoding stands others in for (fixed values).
+STAND_INS = {0x2212: "-", 0x00A0: " "}
+
+
 def encode_win(text: str) -> bytes | None:
-    """Bytes of a text in the Windows encoding, or None."""
+    """Bytes of a text in the Windows encoding; None if it holds control characters or others that this lacks."""
+    text = text.translate(STAND_INS)
+    if any(c < " " or "\x7f" <= c < "\xa0" for c in text):
+        return None
     try:
         return text.encode("cp1252")
     except UnicodeEncodeError:

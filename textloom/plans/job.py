@@ -72,14 +72,16 @@ def run(spark: SparkSession, argv: Sequence[str], say=print) -> int:
             say(f"{r['path']}: {r['why']}")
         stats = pdf.rule_stats(out).orderBy("rule_idx").collect()
         for r in stats if not a.quiet else ():
-            say(f"rule {r['rule_idx'] + 1}: {r['text']} in text, {r['links']} in links, {r['fallback']} using a fallback font, {r['condensed']} condensed, {r['skipped']} skipped")
+            what = rules[r["rule_idx"]].spec.search
+            say(f"rule {r['rule_idx'] + 1} ({what}): {r['text']} in text, {r['links']} in links, {r['fallback']} using a fallback font, {r['condensed']} condensed, {r['actual_text']} in replacement texts, {r['skipped']} skipped")
         if a.strict and any(r["skipped"] for r in stats):
             return 2
         if a.dry_run:
             say("dry run: nothing written")
         else:
             n = pdf.write_pdf(out, a.output)
-            say(f"{n} files written")
+            size = out.where("error is null").join(files.withColumnRenamed("content", "old"), "path").agg(F.sum(F.octet_length("old")), F.sum(F.octet_length("content"))).first()
+            say(f"{n} files written, {size[1] or 0} bytes ({(size[1] or 0) - (size[0] or 0):+d})")
         return int(failed)
     finally:
         out.unpersist()

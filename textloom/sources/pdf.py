@@ -57,6 +57,11 @@ def extract_links(df: DataFrame, path: str = "path", content: str = "content", p
     return _map(df, path, content, "path string, page int, ord int, uri string, error string", lambda c: Engine(c, password).links())
 
 
+def extract_alternates(df: DataFrame, path: str = "path", content: str = "content", password: str | None = None) -> DataFrame:
+    """(path, page, text, error): replacement texts of marked content, in order."""
+    return _map(df, path, content, "path string, page int, text string, error string", lambda c: Engine(c, password).alternates())
+
+
 def rewrite_pdf(df: DataFrame, rules, path: str = "path", content: str = "content", password: str | None = None, options: Options = Options()) -> DataFrame:
     """(path, content, changed, stats, warnings, error): the new file and what each rule did to it."""
     rules = compiled(rules)
@@ -80,9 +85,13 @@ def rule_stats(rewritten: DataFrame) -> DataFrame:
 def write_pdf(rewritten: DataFrame, folder: str, strict: bool = False) -> int:
     """Writes every readable file into ``folder`` (one that all executors share) under its own name; returns how many.
 
-    A strict run writes nothing if any match was skipped or any file failed."""
+    A strict run writes nothing if any match was skipped or any file failed. Nor does any run if two files have one name."""
     if strict and not rewritten.where("error is not null or exists(stats, s -> size(s.skipped) > 0)").isEmpty():
         raise ValueError("some matches or files were skipped; nothing was written")
+    fine = rewritten.where("error is null").select("path", "content")
+    twice = fine.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several files are called {twice[0]['name']}; nothing was written")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -97,5 +106,4 @@ def write_pdf(rewritten: DataFrame, folder: str, strict: bool = False) -> int:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    done = rewritten.where("error is null").select("path", "content").mapInArrow(save, "n long")
-    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return fine.mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
