@@ -311,6 +311,8 @@ class Font:
         """(code, bytes) of every character of a string."""
         if not self.composite:
             return [(b, 1) for b in data]
+        if len({size for size, _, _ in self.spaces}) == 1 and not len(data) % (size := self.spaces[0][0]):
+            return [(int.from_bytes(data[i : i + size], "big"), size) for i in range(0, len(data), size)]
         out, at = [], 0
         while at < len(data):
             for n in range(1, min(4, len(data) - at) + 1):
