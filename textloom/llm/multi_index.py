@@ -6,15 +6,15 @@ sorted lists, until the cells walked hold a share of all rows; every vector in t
 the exact inner product on the original values, in double precision, and the best stay.
 
 The codebooks are fitted on a bounded sample (``SAMPLE`` rows, least hash of the id first); every row is indexed.
-The share, and whether cells are walked by Euclidean distance or by inner product, are calibrated on that sample:
-the least share that would have found ``recall`` of the true neighbours there. Vectors without any
-structure need a large share, clustered ones a small one; the larger the table against the sample, the closer its
-neighbours are and the safer the share is.
+K, the share, and whether cells are walked by Euclidean distance or by inner product, are calibrated on that sample: for each K
+the least share that would have found ``recall`` of the true neighbours there, and of all K the one with the least
+work, rows reranked and cells walked. Vectors without any structure need a large share, clustered ones a
+small one; the larger the table against the sample, the closer its neighbours are and the safer the share is.
 
 Work is dealt out by (first centroid, chunk of vectors, chunk of queries), all of bounded size, and each task
 returns the best of its chunk only. Rows take no part if their id or vector is null, a component is null or not
 finite, the vector is zero, or its length is not the usual one. Repeated ids: a row never finds rows of its own
-id. Ties go to the smaller id. Empty tables give no rows.
+id. Ties go to the smaller id. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import buckets_for, cut
 
 SAMPLE = 20_000
 VECTOR_CHUNK, QUERY_CHUNK = 16_384, 4_096
+#: Codebook sizes that are tried, and what walking a cell costs in rows reranked.
+BOOKS, CELL_COST = (4, 8, 16, 32, 64, 128), 4.0
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -57,50 +59,66 @@ def distances(part: np.ndarray, centers: np.ndarray, inner: bool) -> np.ndarray:
 def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
     """Mask over centroid pairs: those walked, nearest sum first, until they hold ``enough`` rows."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2, c = d1[o1].tolist(), d2[o2].tolist(), counts[o1][:, o2].tolist()
-    n1, n2, held, seen = len(s1), len(s2), 0, []
+    s1, s2, held = d1[o1], d2[o2], 0
+    mask = np.zeros(counts.shape, bool)
     heap = [(s1[0] + s2[0], 0, 0)]
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        held += c[i][j]
-        seen.append(i * n2 + j)
-        if j + 1 < n2:
+        cell = o1[i], o2[j]
+        held += counts[cell]
+        mask[cell] = True
+        if j + 1 < len(s2):
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
-        if j == 0 and i + 1 < n1:
+        if j == 0 and i + 1 < len(s1):
             heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-    mask = np.zeros((n1, n2), bool)
-    at = np.array(seen)
-    mask[o1[at // n2], o2[at % n2]] = True
     return mask
 
 
-def calibrate(sample: np.ndarray, c1: np.ndarray, c2: np.ndarray, top: int, recall: float) -> tuple[bool, float]:
-    """(by inner product?, share of rows to walk) for the wanted recall on the sample."""
+def calibrate(sample: np.ndarray, c1: np.ndarray, c2: np.ndarray, top: int, recall: float) -> tuple[bool, float, float]:
+    """(by inner product?, share of rows to walk, share of cells to walk) for the wanted recall on the sample."""
     h = sample.shape[1] // 2
     cell = nearest(sample[:, :h], c1) * len(c2) + nearest(sample[:, h:], c2)
     counts = np.bincount(cell, minlength=len(c1) * len(c2))
     queries = np.arange(len(sample))[:: max(1, len(sample) // 256)]
-    best = (False, 1.0)
     scores = sample[queries] @ sample.T
     scores[np.arange(len(queries)), queries] = -np.inf
     true = np.argsort(-scores, axis=1, kind="stable")[:, : min(top, len(sample) - 1)]
+    best = (False, 1.0, 1.0)
     for inner in (False, True):
-        d = distances(sample[queries][:, :h], c1, inner)[:, :, None] + distances(sample[queries][:, h:], c2, inner)[:, None, :]
-        order = np.argsort(d.reshape(len(queries), -1), axis=1, kind="stable")
-        held = np.zeros_like(order, dtype=np.float64)
-        np.put_along_axis(held, order, np.cumsum(counts[order], axis=1) / len(sample), axis=1)
-        needed = np.take_along_axis(held, cell[true], axis=1)
-        share = float(np.quantile(needed, recall)) if needed.size else 1.0
+        rows, cells = [], []
+        for q, own in zip(sample[queries], true, strict=True):
+            d = distances(q[None, :h], c1, inner)[0][:, None] + distances(q[None, h:], c2, inner)[0][None, :]
+            order = np.argsort(d.ravel(), kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            held = np.cumsum(counts[order]) / len(sample)
+            rows += held[place[cell[own]]].tolist()
+            cells.append(held)
+        share = float(np.quantile(rows, recall)) if rows else 1.0
         if share < best[1]:
-            best = (inner, share)
+            best = (inner, share, float(np.mean([np.searchsorted(x, share) + 1 for x in cells]) / len(counts)))
     return best
 
 
+def fit(sample: np.ndarray, total: int, top: int, recall: float) -> tuple[np.ndarray, np.ndarray, bool, float]:
+    """(first codebook, second codebook, by inner product?, share): of the codebook sizes, the one with the least work."""
+    h, best = sample.shape[1] // 2, None
+    for k in BOOKS:
+        if best and k * k > len(sample):
+            break
+        books = kmeans(sample[:, :h], k), kmeans(sample[:, h:], k, seed=1)
+        inner, share, cells = calibrate(sample, *books, top, recall)
+        work = share * total + CELL_COST * cells * len(books[0]) * len(books[1])
+        if best is None or work < best[0]:
+            best = (work, *books, inner, share)
+    return best[1:]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = 20, recall: float = 0.96) -> DataFrame:
+def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = 20, recall: float = 0.93) -> DataFrame:
     """(query_id, rank, vec_id, score): the rows whose id is divisible by ``every`` against all others."""
     spark = table.sparkSession
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -114,9 +132,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     rows = rows.where(F.size("v") == dims)
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
     h = dims // 2
-    k = int(min(1024, max(1, 2 ** round(np.log2(max(1.0, total**0.5 / 8))))))
-    c1, c2 = kmeans(sample[:, :h], k), kmeans(sample[:, h:], k, seed=1)
-    inner, share = calibrate(sample, c1, c2, top, recall)
+    c1, c2, inner, share = fit(sample, total, top, recall)
     books = spark.sparkContext.broadcast((c1, c2))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +146,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     for r in indexed.groupBy("c1", "c2").count().collect():
         counts[r["c1"], r["c2"]] = r["count"]
     enough = max(top + 1, int(np.ceil(share * total)))
+    filled = spark.sparkContext.broadcast(counts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
@@ -139,7 +156,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             if ids:
                 d1, d2 = distances(v[:, :h], a, inner), distances(v[:, h:], b, inner)
             for i, q in enumerate(ids):
-                mask = walk(d1[i], d2[i], counts, enough)
+                mask = walk(d1[i], d2[i], filled.value, enough)
                 for c in np.flatnonzero(mask.any(axis=1)).tolist():
                     for column, x in zip(out, (q, c, np.packbits(mask[c]).tobytes(), v[i].tobytes()), strict=True):
                         column.append(x)
@@ -163,6 +180,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             vectors = vectors.sort_values("vec_id", kind="stable")
             own, c = vectors["vec_id"].to_numpy(np.int64), vectors["c2"].to_numpy(np.int64)
             v = np.stack([np.frombuffer(x, np.float64) for x in vectors["v"]])
+            longest = np.linalg.norm(v, axis=1).max()
             for at in range(0, len(asks), 256):
                 part = asks.iloc[at : at + 256]
                 q = np.stack([np.frombuffer(x, np.float64) for x in part["q"]])
@@ -172,13 +190,14 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                 s[qid[:, None] == own[None, :]] = -np.inf
                 n = min(top, s.shape[1])
                 bar = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                slack = 1e-13 * v.shape[1] * np.linalg.norm(q, axis=1) * longest  # beyond what rounding can do
                 for i in range(len(part)):
-                    near = np.flatnonzero((s[i] >= bar[i] - 1e-9) & (s[i] > -np.inf))
+                    near = np.flatnonzero((s[i] >= bar[i] - slack[i]) & (s[i] > -np.inf))
                     exact = (v[near] * q[i]).sum(axis=1)
                     order = np.lexsort((own[near], -exact))[:top]
                     ids.append(int(qid[i]))
                     found.append([{"score": float(e), "vec_id": int(o)} for e, o in zip(exact[order], own[near][order], strict=True)])
-        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "found": found})
+        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "found": pd.Series(found, dtype=object)})
 
     best = left.groupBy("c1", "vc", "qc").cogroup(right.groupBy("c1", "vc", "qc")).applyInPandas(rerank, "query_id long, found array<struct<score:double,vec_id:long>>")
     # at most ``top`` of each chunk meet here
