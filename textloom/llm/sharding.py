@@ -2,11 +2,13 @@
 
 Equal texts form a group that no shard border cuts (null texts are one group, empty ones another). A
 partial partition is a vector of k sums; again and again the two with the largest spread become one, the
-largest sum of either with the smallest of the other. Groups are dealt into buckets of bounded size by hash,
-each bucket is differenced in a task, and the resulting partial partitions, one vector per bucket, are differenced
-again on the driver: ``k`` numbers for each ``bucket_groups`` groups. Numbering rows within a shard goes by ranges.
+largest sum of either with the smallest of the other. What is differenced are units: every group of more than 1 / ``UNITS`` of
+all bytes by itself, and all smaller ones together in ``UNITS`` hash buckets, since they are too small to matter one by one. So there
+are at most twice ``UNITS`` sums, whatever the size of the table, on the driver. Rows find their shard by two broadcast joins
+of as many entries and are not shuffled by group; a very common text is no hot key. Numbering rows within a shard goes by ranges.
 
-Null ids, repeated rows and extra columns: every row gets a shard and a slot. Empty tables give no rows.
+Null ids, repeated rows and extra columns: every row gets a shard and a slot. Very long texts are groups like
+others; one larger than a fair share has a shard of its own. Ties keep the order of buckets and hashes. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, numbered
+from .common import cut, numbered
 
 SHARDS = 24
+#: Hash buckets of small groups, and as many large groups at most.
+UNITS = 8_192
 
 
 def differencing(vectors: Sequence[Sequence[int]], k: int) -> list[list[int]]:
@@ -61,9 +65,9 @@ def differencing(vectors: Sequence[Sequence[int]], k: int) -> list[list[int]]:
     return out
 
 
-def shard(docs: DataFrame, k: int = SHARDS, bucket_groups: int = 10_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, k: int = SHARDS, units: int = UNITS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) and the columns ``keep``."""
-    text = F.col(text_col)
+    spark, text = docs.sparkSession, F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
@@ -73,24 +77,15 @@ def shard(docs: DataFrame, k: int = SHARDS, bucket_groups: int = 10_000, id_col:
     )
     rows = cut(rows)
     groups = cut(rows.groupBy("_group").agg(F.sum("size").alias("bytes")))
-    n = buckets_for(groups.count(), bucket_groups)
-    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("_group"), F.lit(n)).cast("int"))
-
-    def local(frame):
-        frame = frame.sort_values(["bytes", "_group"], ascending=[False, True], kind="stable")
-        frame["part"] = [p[0] for p in differencing([[b] for b in frame["bytes"].tolist()], k)]
-        return frame[["_group", "bucket", "part", "bytes"]]
-
-    parts = cut(groups.groupBy("bucket").applyInPandas(local, "_group binary, bucket int, part int, bytes long"))
-    sums: dict[int, list[int]] = {}
-    for r in parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():
-        sums.setdefault(r["bucket"], [0] * k)[r["part"]] = r["bytes"]
-    buckets = sorted(sums)
-    placed = differencing([sums[b] for b in buckets], k)
-    table = [(b, p, s) for b, to in zip(buckets, placed, strict=True) for p, s in enumerate(to)]
-    to = docs.sparkSession.createDataFrame(table, "bucket int, part int, shard int")
-    parts = parts.join(to, ["bucket", "part"]).select("_group", "shard")
-    rows = cut(rows.join(parts, "_group").drop("_group"))
+    bucket = F.pmod(F.xxhash64("_group"), F.lit(units)).cast("int")
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = groups.where(F.col("bytes") * units > total).orderBy("_group").collect()
+    small = groups.where(F.col("bytes") * units <= total).groupBy(bucket.alias("bucket")).agg(F.sum("bytes").alias("bytes")).orderBy("bucket").collect()
+    to = [p[0] for p in differencing([[r["bytes"]] for r in [*large, *small]], k)]
+    own = spark.createDataFrame([(r["_group"], s) for r, s in zip(large, to, strict=False)], "_group binary, _own int")
+    shared = spark.createDataFrame([(r["bucket"], s) for r, s in zip(small, to[len(large) :], strict=True)], "_bucket int, _shared int")
+    rows = rows.withColumn("_bucket", bucket).join(F.broadcast(own), "_group", "left").join(F.broadcast(shared), "_bucket", "left")
+    rows = cut(rows.withColumn("shard", F.coalesce("_own", "_shared")).drop("_group", "_bucket", "_own", "_shared"))
     return numbered(rows, ["shard"], [F.col("doc_id"), F.col("size"), F.col("text_crc32")], rows.count(), k, "slot")
 
 
