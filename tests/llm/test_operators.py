@@ -80,6 +80,29 @@ def test_multi_index_against_brute_force(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
+def test_multi_index_prunes_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(64, 16)) * 8
+    x = np.concatenate([c + rng.normal(size=(60, 16)) for c in centers])
+    _, _, _, share = multi_index.fit(x, len(x), 20, 0.93)
+    assert share < 0.15
+    # what a walk opens: the nearest cells, until they hold enough
+    d1, d2 = np.array([3.0, 1.0, 2.0]), np.array([5.0, 1.0])
+    counts = np.array([[1, 1], [4, 2], [0, 3]])
+    assert (multi_index.walk(d1, d2, counts, 4) == np.array([[False, False], [False, True], [False, True]])).all()
+    assert multi_index.walk(d1, d2, counts, 99).all()
+
+
+def test_multi_index_of_large_components(spark):
+    """Ties and neighbours are told apart relative to the size of the numbers."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 10, size=(200, 6)) * 1e9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if v.any()], "vec_id long, embedding array<double>")
+    for q, rank, v, s in collected(multi_index.search(df, top=200, recall=1.0)):
+        assert s == x[q] @ x[v]
+    assert {q for q, *_ in collected(multi_index.search(df))} == {i for i in range(0, 200, 20) if x[i].any()}
+
+
 def test_multi_index_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert collected(multi_index.search(spark.createDataFrame([], schema))) == []
@@ -108,6 +131,46 @@ def test_sharding(spark):
     assert collected(sharding.shard_digest(docs(spark, []))) == []
 
 
+def plain_differencing(sizes, k):
+    """The largest spreads first, with whole lists of members in place of trees."""
+    parts = [sorted([(s, [i])] + [(0, [])] * (k - 1)) if k > 1 else [(s, [i])] for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda z: z[0]))
+    return sorted(s for s, _ in parts[0])
+
+
+def test_differencing_matches_plain_lists():
+    rng = random.Random(2)
+    for k in (2, 3, 7):
+        for _ in range(15):
+            sizes = rng.sample(range(1, 100_000), rng.randrange(1, 25))
+            load = [0] * k
+            for s, p in zip(sizes, sharding.differencing([[s] for s in sizes], k), strict=True):
+                load[p[0]] += s
+            if k == 2:  # without ties between parts there is one way only
+                assert sorted(load) == plain_differencing(sizes, k)
+            # never worse than greedy by more than the largest size
+            greedy = [0] * k
+            for s in sorted(sizes, reverse=True):
+                greedy[greedy.index(min(greedy))] += s
+            assert sum(load) == sum(sizes) and max(load) <= max(greedy) + max(sizes)
+
+
+def test_sharding_of_large_and_small_groups(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randrange(1, 5_000)) for i in range(1_500)] + [(9_999, "long " * 60_000)] + [(20_000 + i, "twice") for i in range(300)]
+    for units in (40, 400):
+        out = collected(sharding.shard(docs(spark, rows), 5, units))
+        load, where = Counter(), {}
+        for _, size, crc, shard, _ in out:
+            load[shard] += size
+            where.setdefault(crc, set()).add(shard)
+        assert len(out) == len(rows) and sum(load.values()) == sum(len(t) + 8 for _, t in rows) and all(len(x) == 1 for x in where.values())
+        assert max(load.values()) - min(load.values()) <= (0.01 * max(load.values()) if units == 400 else sum(load.values()) / units)
+
+
 def test_differencing_is_tighter_than_greedy():
     sizes = [8, 7, 6, 5, 4]
     parts = sharding.differencing([[s] for s in sizes], 2)
@@ -649,7 +712,8 @@ def test_mixing(spark):
         full |= over
     by = {(d, len((t or "").split())): s for d, t, s in rows}
     taken = Counter()
-    for d, n, source_size, goal, took in out:
+    for d, n, source_size, goal, took, first in out:
+        assert (first >= 0) == (took > 0)
         s = by[d, n]
         assert source_size == size[s] and abs(goal - target[s]) < 1e-6 * max(1, goal) and took <= 2 * n
         taken[s] += took
