@@ -97,7 +97,9 @@ def test_sharding(stages):
     for _, slots in out.groupby("shard").slot:
         assert sorted(slots) == list(range(len(slots)))
     load = out.groupby("shard")["size"].sum()
-    assert load.max() - load.min() <= 0.02 * load.max()
+    # a shard that one group fills can't be made smaller
+    parts = load[out.groupby("shard").text_crc32.nunique() > 1]
+    assert len(load) - len(parts) <= 2 and parts.max() - parts.min() <= 0.02 * parts.max()
 
 
 def test_run(spark, stages):

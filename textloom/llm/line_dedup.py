@@ -7,7 +7,7 @@ never dropped). Of each class the first line (least document id, then line numbe
 Two lines within t edits share one of t + 1 even segments of the shorter line, at a place that the number of
 edits to its left and right bounds. Equal lines are merged first. Each line is then indexed by its segments, keyed by length, segment
 number and content, and probes with its substrings at those places for its own and the t next smaller lengths. One shuffle
-brings index and probes together and is joined with itself. An entry also holds how often each of 16 signs occurs in its line, modulo 4 in a Gray code: an edit changes
+brings index and probes together and is joined with itself. An entry also holds how often each of 12 signs occurs in its line, modulo 4 in a Gray code: an edit changes
 two of these counts by one at most, which flips one bit each, so the join itself drops pairs that differ in more than 2t bits and loses none. What is left are distinct pairs of
 different lines; they must share enough of 2t + 2 smaller segments, and
 what is left between their common start and end is verified by a bit-parallel edit distance on the
@@ -32,7 +32,7 @@ THRESHOLD, LEAST = 2, 12
 #: Texts of candidates are fetched by a broadcast join up to so many lines (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 100_000
 #: The signs that are counted.
-SIGNS = "abcdeghilmnoprst"
+SIGNS = "acdghilnorsu"
 
 
 def let(value: Column, use) -> Column:
@@ -59,7 +59,7 @@ def keys(line: Column, length: Column, t: int) -> Column:
 
 
 def sign_counts(line: Column) -> Column:
-    """32 bits: for each of SIGNS, how often it occurs modulo 4, as 0, 1, 3, 2. Counts that differ by one differ in one bit."""
+    """Two bits for each of SIGNS: how often it occurs modulo 4, as 0, 1, 3, 2. Counts that differ by one differ in one bit."""
     bits = F.lit(0).cast("long")
     for i, c in enumerate(SIGNS):
         n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 4
@@ -191,9 +191,9 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     scratch = Scratch(docs.sparkSession)
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length("line") >= max(least, threshold + 1)) & ~is_blank(F.col("line")))
     short = F.xxhash64("line").bitwiseAND(F.lit((1 << 63) - 1))
-    merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), sign_counts(F.col("line")).alias("signs"))
-    # the keys are a column of their own first, where what they share is computed once; an outer explode, though no array is
-    # empty, since for others the optimizer asks for their size before the lines are merged
+    merged = lines.distinct().select("line", F.length("line").alias("len"), short.alias("e"), F.coalesce(sign_counts(F.col("line")), F.lit(0).cast("long")).alias("signs"))
+    # The keys are a column of their own first, where what they share is computed once. An outer explode, though no array is empty, and
+    # a default for signs, though none is missing: else the optimizer asks for sizes and nulls before the lines are merged.
     merged = merged.select("e", "signs", keys(F.col("line"), F.col("len"), threshold).alias("keys"))
     rows = merged.select("e", "signs", F.posexplode_outer("keys").alias("place", "key"))
     # both sides of the join read one shuffle; the sign bit tells entries of the index from probes
