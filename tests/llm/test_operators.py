@@ -305,12 +305,30 @@ def test_chat_round_trip(spark):
     ('{"prompt":"p","response":"r"}', [("user", "p"), ("assistant", "r")]),
     ('{"question":"p","answer":"r"}', [("user", "p"), ("assistant", "r")]),
     ('{"unknown":{"deep":1}}', None),
+    ('{"id":1,"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a","meta":{"x":{"y":[1]}}}],"tags":["t"]}', [("user", "q"), ("assistant", "a")]),
+    ('{"messages":[]}', []),
+    ('{"messages":[{"role":"user"}]}', None),
+    ('{"messages":"text"}', None),
+    ('{"meta":{"prompt":"inner"},"question":"p","answer":{"text":"r"}}', [("user", "p"), ("assistant", '{"text":"r"}')]),
+    ('[1,2]', None),
+    ('null', None),
 ])
 def test_layouts(spark, record, turns):
     row = chat.format_records(spark.createDataFrame([(record,)], "json string"), F.parse_json("json")).first()
     assert (None if row["turns"] is None else [tuple(t) for t in row["turns"]]) == turns
     if turns:
         assert row["formatted"].count("<|turn|>") == len(turns)
+    if "tags" in record:
+        assert row["unknown"] == ["id", "messages[].meta", "messages[].name", "tags"]
+
+
+def test_chat_of_empty_and_long_tables(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert [r[0] for r in collected(chat.chat_digest(spark.createDataFrame([], schema)))] == [-1]
+    long = "[<\\" * 200_000
+    for i in range(3):  # each layout
+        got = {r[0]: r for r in collected(chat.chat_digest(spark.createDataFrame([(i, 0, "assistant", long)], schema)))}
+        assert got[i][3:5] == (len(long), hashlib.sha256(long.encode()).hexdigest())
 
 
 # ---------- 5

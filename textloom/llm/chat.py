@@ -1,18 +1,21 @@
 """Chat formatting with built-in functions only.
 
-Records of different layouts become canonical turns: the nested field paths of a record (names and
-nesting, no scalar types) are hashed, and the hash selects a declarative mapping. Turns are
+Records of different layouts become canonical turns: a declarative mapping names the nested field paths that it reads, and those of them
+that a record has are hashed. The mapping whose own fingerprint that is applies (the first in the list, if several do); other
+fields of a record don't disturb it and are listed as unknown. Turns are
 then put into a template whose markers can't occur inside texts: ``\\``, ``<`` and ``[`` are each followed by a
 backslash in escaped text, so neither the template's markers nor foreign control strings like ``</s>``
 or ``[INST]`` survive unescaped, and unescaping restores every text exactly. Texts of the trained roles lie under
 the loss mask, an array of (start, length) spans in code points.
 
-Null texts and roles count as empty. Records of an unknown layout have null turns. Turns with the same
-number are ordered by role and text. A null conversation id is a conversation of its own. Other columns are ignored.
+Null texts and roles count as empty, values of other kinds as their JSON. Records of an unknown layout have null turns, an empty list of
+messages has none. Turns with the same number are ordered by role and text, repeated rows are turns of their own. A null
+conversation id is a conversation of its own. An empty table gives the control conversation only. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +38,9 @@ class Mapping:
     roles: dict[str, str] = field(default_factory=dict, hash=False)
 
     @property
-    def layout(self) -> str:
-        """The layout in the normal form that is hashed."""
-        if self.list:
-            inner = ", ".join(f"{n}: _" for n in sorted([self.role, self.text]))
-            return f"OBJECT<{self.list}: ARRAY<OBJECT<{inner}>>>"
-        return f"OBJECT<{', '.join(f'{n}: _' for n in sorted(f for _, f in self.fields))}>"
+    def paths(self) -> list[str]:
+        """The field paths that it reads, in order."""
+        return sorted([f"{self.list}[].{self.role}", f"{self.list}[].{self.text}"] if self.list else [f for _, f in self.fields])
 
 
 OTHER_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -58,10 +58,45 @@ MAPPINGS = (
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a variant."""
-    paths = F.regexp_replace(F.schema_of_variant(record), r"\b(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ)\b(?!:)", "_")
-    return F.sha2(paths, 256)
+#: How deep objects may be nested in a record for its own fields to be told from theirs.
+DEPTH = 8
+
+
+def _names(schema: Column) -> Column:
+    """Names of the fields of an object, from its schema in words."""
+    inner = F.regexp_replace(schema, r"^OBJECT<|>$", "")
+    for _ in range(DEPTH):
+        inner = F.regexp_replace(inner, "<[^<>]*>", "")
+    found = F.regexp_extract_all(inner, F.lit("(?:^|, )([^:,]+): "), F.lit(1))
+    return F.when(schema.startswith("OBJECT<"), found).otherwise(F.array().cast("array<string>"))
+
+
+def _inside(name: str):
+    return lambda f: F.concat(F.lit(f"{name}[]."), f)
+
+
+def field_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Sorted paths of a variant: its fields, and those of the objects in each list that a mapping reads. An empty list
+    is taken to hold objects of any kind."""
+    out = [_names(F.schema_of_variant(record))]
+    for name in sorted({m.list for m in mappings if m.list}):
+        kind = F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant"))
+        inner = F.transform(_names(F.regexp_replace(kind, "^ARRAY<(.*)>$", "$1")), _inside(name))
+        known = sorted({p for m in mappings if m.list == name for p in m.paths})
+        out.append(F.when(kind.rlike("^ARRAY<(?:VOID)?>$"), F.array(*map(F.lit, known))).when(kind.startswith("ARRAY<OBJECT<"), inner).otherwise(F.array().cast("array<string>")))
+    empty = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, empty) for x in out])))
+
+
+def fingerprint(paths: Column) -> Column:
+    """Hash of sorted field paths."""
+    return F.sha2(F.array_join(paths, "\n"), 256)
+
+
+def unknown_paths(paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Paths that no mapping reads, nor holds what one reads."""
+    known = sorted({p for m in mappings for p in m.paths} | {m.list for m in mappings if m.list})
+    return F.array_except(paths, F.array(*map(F.lit, known)))
 
 
 def _renamed(m: Mapping):
@@ -75,18 +110,18 @@ def _renamed(m: Mapping):
     return use
 
 
-def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+def canonical_turns(record: Column, paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """The turns of a variant record by the mapping that its fingerprint selects; null if there is none."""
     out = F.lit(None).cast(TURNS)
-    print_ = fingerprint(record)
     for m in reversed(mappings):
         if m.list:
             kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
-            turns = F.transform(F.variant_get(record, f"$.{m.list}", kind), _renamed(m))
+            turns = F.transform(F.try_variant_get(record, f"$.{m.list}", kind), _renamed(m))
         else:
-            each = [F.struct(F.lit(r).alias("role"), F.coalesce(F.variant_get(record, f"$.{f}", "string"), F.lit("")).alias("text")) for r, f in m.fields]
+            each = [F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")).alias("text")) for r, f in m.fields]
             turns = F.filter(F.array(*each), lambda x: (x["text"] != "") | (x["role"] == "assistant"))
-        out = F.when(print_ == F.sha2(F.lit(m.layout), 256), turns).otherwise(out)
+        read = F.array_intersect(paths, F.array(*map(F.lit, m.paths)))
+        out = F.when(fingerprint(read) == hashlib.sha256("\n".join(m.paths).encode()).hexdigest(), turns).otherwise(out)
     return out
 
 
@@ -121,18 +156,28 @@ def read_turns(formatted: Column) -> Column:
 
 
 def format_records(df: DataFrame, record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """All columns, and ``layout`` (fingerprint), ``turns``, ``formatted``, ``loss_spans``."""
-    df = df.withColumn("layout", fingerprint(record)).withColumn("turns", canonical_turns(record, mappings))
+    """All columns, and ``layout`` (fingerprint of all paths), ``unknown`` (paths that no mapping reads), ``turns``, ``formatted``, ``loss_spans``."""
+    df = df.withColumn("_paths", field_paths(record, mappings))
+    df = df.withColumn("layout", fingerprint(F.col("_paths"))).withColumn("unknown", unknown_paths(F.col("_paths"), mappings))
+    df = df.withColumn("turns", canonical_turns(record, F.col("_paths"), mappings)).drop("_paths")
     whole, spans = format_turns(F.col("turns"))
     return df.withColumn("formatted", whole).withColumn("loss_spans", spans)
 
 
 def from_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, record): one variant record for each conversation of a table with a row for each turn."""
+    """(conv_id, record): one variant record for each conversation of a table with a row for each turn. By the id it is of one of
+    three layouts: messages, turns, or messages with further fields."""
     rows = rows.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return whole.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    plain = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    other = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("text")))
+    more = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"), F.struct(t["turn"].alias("number")).alias("meta")))
+    which = F.coalesce(F.pmod("conv_id", F.lit(3)), F.lit(0))
+    layouts = (
+        F.to_variant_object(F.struct(plain.alias("messages"))), F.to_variant_object(F.struct(other.alias("turns"))),
+        F.to_variant_object(F.struct(F.col("conv_id").alias("id"), more.alias("messages"), F.struct(F.lit("table").alias("kind")).alias("origin"))),
+    )
+    return whole.select("conv_id", F.when(which == 0, layouts[0]).when(which == 1, layouts[1]).otherwise(layouts[2]).alias("record"))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
