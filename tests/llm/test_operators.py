@@ -360,6 +360,89 @@ def test_label_model_finds_accuracies():
     assert ((posterior > 0.5) == truth).mean() > 0.9
 
 
+def plain_label_model(votes, rounds=50):
+    """Expectation-maximisation row by row."""
+    bad = [0.9 if quality.BAD in v else 0.05 for v in votes]
+    for _ in range(rounds):
+        rates = []
+        for j in range(len(votes[0])):
+            count = [[0.1] * 3, [0.1] * 3]
+            for v, b in zip(votes, bad, strict=True):
+                count[0][v[j]] += 1 - b
+                count[1][v[j]] += b
+            rates.append([[x / sum(c) for x in c] for c in count])
+        prior = (sum(bad) + 1) / (len(bad) + 2)
+        new = []
+        for v in votes:
+            good_, bad_ = 1 - prior, prior
+            for j, x in enumerate(v):
+                good_, bad_ = good_ * rates[j][0][x], bad_ * rates[j][1][x]
+            new.append(bad_ / (good_ + bad_))
+        done = max(abs(a - b) for a, b in zip(new, bad, strict=True)) < 1e-6
+        if done:
+            break
+        bad = new
+    return bad, rates
+
+
+def test_label_model_against_plain_python():
+    rng = np.random.default_rng(7)
+    votes = rng.choice(3, size=(300, 4), p=[0.3, 0.2, 0.5])
+    posterior, rates = quality.label_model(votes)
+    want, want_rates = plain_label_model([tuple(int(x) for x in v) for v in votes])
+    assert np.allclose(posterior, want, atol=1e-6) and np.allclose(rates, np.array(want_rates), atol=1e-6)
+
+
+def plain_hash(word: bytes) -> int:
+    mask = (1 << 64) - 1
+    x = sum((b + 1) * pow(kernels.BASE, i, 1 << 64) for i, b in enumerate(word)) & mask
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def test_quality_features_against_plain_python():
+    import re
+
+    texts = ["The cat, the CAT and zorglings!! idiot", "", None, "a|| b%% b%% c", "| | x |", "% %%", "ÉTÉ été  the\tof", "x", "stupidly stupid worthlessness " * 40]
+    at = 0
+    for first, p in quality.parts(pa.array(texts)):
+        assert first == at
+        for i, stems in enumerate(p.stems):
+            data = (texts[at + i] or "").encode()
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in data)
+            spaced, pure = low.split(), re.findall(rb"[a-z0-9\x80-\xff]+", low)
+            want = {(plain_hash(w) ^ 11) % quality.SPACE for w in pure} | {(plain_hash(w[:n]) ^ n) % quality.SPACE for w in pure for n in range(4, 9) if len(w) > n}
+            insults = sum(w in {x.encode() for x in quality.INSULTS} for w in pure)
+            assert set(stems.tolist()) == want | ({quality.SPACE - 38} if insults else set()) and p.insults[i] == insults
+            n = max(len(spaced), 1)
+            letters = max(sum(65 <= c <= 90 or 97 <= c <= 122 for c in data), 1)
+            shares = [
+                sum(len(w) > 1 and w[-1] == w[-2] and w[-1:] in b"%&*#$@!~^=_<>{}" for w in spaced) / n, sum(a == b for a, b in zip(spaced, spaced[1:], strict=False)) / n,
+                sum(w == b"|" for w in spaced) / n, sum(65 <= c <= 90 for c in data) / letters,
+                sum(w.decode(errors="replace") in quality.FUNCTION_WORDS for w in pure) / max(len(pure), 1), len(spaced),
+            ]
+            assert np.allclose(p.forms[i], shares), (texts[at + i], p.forms[i], shares)
+        at += len(p.stems)
+    assert at == len(texts)
+
+
+def test_scorer_keeps_what_the_g_test_keeps():
+    rng = np.random.default_rng(8)
+    features = [np.unique(rng.choice(60, 12)).astype(np.int32) for _ in range(400)]
+    bad = np.array([float(3 in f or 9 in f) for f in features])
+    scorer = quality.fit_scorer(features, bad)
+    n, b, want = len(features), bad.sum(), set()
+    for x in range(60):
+        seen = [x in f for f in features]
+        table = [[sum(s and y == c for s, y in zip(seen, bad, strict=True)), sum(not s and y == c for s, y in zip(seen, bad, strict=True))] for c in (1, 0)]
+        g = 2 * sum(o * math.log(o * n / (sum(row) * (table[0][k] + table[1][k]))) for row in table for k, o in enumerate(row) if o)
+        if g >= 2 * math.log(60) + 2 and table[0][0] >= quality.PURE * sum(seen):
+            want.add(x)
+    assert set(scorer.places.tolist()) == want == {3, 9} and b
+    assert ((scorer(features) > 0.5) == (bad > 0.5)).mean() > 0.95
+
+
 # ---------- 6
 
 
@@ -542,6 +625,40 @@ def test_class_lm(spark):
     assert collected(class_lm.score(docs(spark, []))) == []
 
 
+def test_exchange_against_whole_likelihoods():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 9, size=(30, 30)).astype(float)
+    counts[:14, 14:28] *= 5
+    counts[rng.random((30, 30)) < 0.3] = 0
+    classes, fixed = 3, 2
+    f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+
+    def likelihood(own):
+        member = np.zeros((30, classes + fixed))
+        member[np.arange(30), own] = 1
+        pairs = member.T @ counts @ member
+        return f(pairs) - f(pairs.sum(1)) - f(pairs.sum(0))
+
+    own = np.concatenate([np.arange(28) % classes, classes + np.arange(fixed)])
+    start = likelihood(own)
+    for _ in range(6):
+        moved = 0
+        for w in range(28):
+            tries = []
+            for c in range(classes):
+                other = own.copy()
+                other[w] = c
+                tries.append(likelihood(other))
+            best = int(np.argmax(tries))
+            if tries[best] > tries[own[w]] + 1e-9:
+                own[w] = best
+                moved += 1
+        if not moved:
+            break
+    got = class_lm.exchange(counts, classes, fixed)
+    assert (got == own).all() and likelihood(got) > start
+
+
 def test_class_lm_is_a_distribution():
     texts = ["a b a c", "b a", "c c d e f"]
     words_ = sorted({w for t in texts for w in t.split()})

@@ -86,18 +86,20 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, Parts]]:
         words, bounds = K.word_hashes(data, offsets)
         count = np.maximum(np.diff(bounds), 1)
         spaced = ~((data == 32) | ((data - np.uint8(9)) < 5)) if n else np.zeros(0, bool)
-        last = spaced.copy()
+        last, start = spaced.copy(), spaced.copy()
         if n:
             last[:-1] &= ~spaced[1:]
+            start[1:] &= ~spaced[:-1]
             edge = offsets[(offsets > 0) & (offsets < n)]
-            last[edge - 1] = spaced[edge - 1]
+            last[edge - 1], start[edge] = spaced[edge - 1], spaced[edge]
         ends = np.flatnonzero(last)
+        single = np.flatnonzero(start) == ends
         e1, e2 = (data[ends], data[np.maximum(ends - 1, 0)]) if n else (data, data)
-        symbol = np.isin(e1, np.frombuffer(b"%&*#$@!~^=_<>{}", np.uint8)) & (e1 == e2)
+        symbol = np.isin(e1, np.frombuffer(b"%&*#$@!~^=_<>{}", np.uint8)) & (e1 == e2) & ~single
         again = np.zeros(len(words), bool)
         again[1:] = words[1:] == words[:-1]
         again[bounds[:-1][np.diff(bounds) > 0]] = False
-        bar = (e1 == ord("|")) & ~spaced[np.maximum(ends - 1, 0)] if n else np.zeros(0, bool)
+        bar = (e1 == ord("|")) & single
         upper = ((data - np.uint8(65)) < 26) if n else np.zeros(0, bool)
         letter = upper | (((data - np.uint8(97)) < 26) if n else upper)
         pure, pure_bounds = K.word_hashes(data, offsets, letters_only=True)
