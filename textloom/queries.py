@@ -300,6 +300,11 @@ def _pdfs(df: DataFrame, make) -> DataFrame:
     return _mapped(df, "path string, content binary", lambda path, x: [(path, make(path, x))])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over several tasks a core. Making a file of a row costs far more than moving it, and a small table is one task."""
+    return df.repartition(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -425,7 +430,7 @@ def q32(spark, sf_dir):
     from .sources.pdf import extract_text
 
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_name")
-    return extract_text(_pdfs(names, lambda _, name: named_glyphs_pdf(name))).select("path", "text")
+    return extract_text(_pdfs(_spread(names), lambda _, name: named_glyphs_pdf(name))).select("path", "text")
 
 
 @query("q33_pdf_shared_forms", "SELECT n_nationkey::VARCHAR AS path, page::INT AS page, text FROM (SELECT n_nationkey, unnest(range(1, n_nationkey % 4 + 2)) AS page, '' AS text FROM nation UNION ALL SELECT n_nationkey, 1, n_name FROM nation)")
