@@ -42,7 +42,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "new_text", "changed"]
 
 
-@pytest.mark.parametrize("name", ["q32_pdf_glyph_names"])
+@pytest.mark.parametrize("name", ["q32_pdf_glyph_names", "q34_pdf_gaps"])
 def test_files_are_made_in_many_tasks(spark, name):
     """The table is one split, but a file a row is work for every core."""
     assert entry.queries()[name](spark, DATA).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

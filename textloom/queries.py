@@ -450,7 +450,7 @@ def q34(spark, sf_dir):
     from .sources.pdf import extract_text, rewrite_pdf
 
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.replace("p_name", F.lit(" "), F.lit("q")).alias("name"))
-    return extract_text(rewrite_pdf(_pdfs(names, lambda _, name: any_text_pdf([name])), [RuleSpec("q", " ")])).select("path", "text")
+    return extract_text(rewrite_pdf(_pdfs(_spread(names), lambda _, name: any_text_pdf([name])), [RuleSpec("q", " ")])).select("path", "text")
 
 
 @query("q35_text_strings", f"SELECT doc_id, md5(coalesce(text, '')) AS wide, md5(coalesce(text, '')) AS marked, md5({_normal(_TEXT)}) AS normal FROM documents")
